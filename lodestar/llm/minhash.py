@@ -12,7 +12,7 @@ Documents of equal words are one class from the start. The others meet in bands;
 with similarity 0.8 misses all 24 bands with probability 3e-6. Pairs of small buckets are all
 verified on their exact shingle sets. In a large bucket every document is verified
 against a few hubs first; where that leaves several classes in a bucket, blocks of its documents
-are compared by signature, and what agrees enough is verified. So a bucket of one
+are compared by signature, and what agrees enough is verified in place. So a bucket of one
 class costs linear work, and no pair between classes is left out.
 
 Edge cases: null and empty texts, and texts without words, are classes of their own;
@@ -40,15 +40,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 #: Buckets of up to so many documents give all their pairs.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 6
 #: Hubs of a larger bucket.
-HUBS = 6
+HUBS = 2
 #: Documents in a block of a large bucket.
 BLOCK = 512
 #: Agreement of signatures from which a pair of a large bucket is verified: 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.62
-#: Members that are verified against one hub in one group.
-CHUNK = 256
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _CACHE = 500_000
 _U = np.uint64
@@ -223,36 +221,48 @@ def _with_class(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("v").alias("doc_id"), "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different classes (a, b) of large buckets whose signatures agree enough.
+def _block_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join different classes in large buckets, by exact sets.
 
-    ``members``: bucket, size, doc_id, c, n, sig. Each bucket is dealt into blocks by a
-    hash; every two blocks meet in one group of two blocks' size.
+    ``members``: bucket, size, doc_id, c, n, sig, shingles. Each bucket is dealt into blocks by a
+    hash; every two blocks meet in one group of two blocks' size. Pairs whose signatures
+    agree enough are verified there, and of the links a group gives a spanning forest.
     """
     rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c", "n", "sig")
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c", "n", "sig", "shingles")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("n", "ascending"), ("doc_id", "ascending")])
-        ids, c, n, block = (table.column(x).to_numpy() for x in ("doc_id", "c", "n", "block"))
+        ids, c, n, block = (table.column(x).to_numpy().copy() for x in ("doc_id", "c", "n", "block"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), K)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        a_out, b_out = [], []
+        links = []
         for x in range(len(ids) - 1):
             end = np.searchsorted(n, n[x] / THRESHOLD + 1e-9, "right")
             to = np.arange(x + 1, end)
             to = to[(c[to] != c[x]) & (same | (block[to] != block[x]))]
             if len(to):
                 to = to[(sig[to] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
-                a_out.append(np.minimum(ids[to], ids[x]))
-                b_out.append(np.maximum(ids[to], ids[x]))
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": flat(a_out), "b": flat(b_out)})
+            for y in to[_alike(sets[x], [sets[y] for y in to])] if len(to) else ():
+                if c[y] != c[x]:
+                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    c[c == c[y]] = c[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _alike(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are similar enough to ``x``."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return both >= THRESHOLD * (len(x) + sizes - both) - 1e-9
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the least id of each document's class, for every row with an id."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -286,9 +296,8 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(links, "dart-labels")
     large = _with_class(met.where(F.col("size") > SMALL_BUCKET).select("bucket", "size", "doc_id"), labels)
     mixed = large.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-    mixed_members = large.join(mixed, "bucket", "left_semi").join(reps.select("doc_id", "n", "sig"), "doc_id")
-    found = _block_pairs(mixed_members)
-    more = materialise(_verify(found, sets), "dart-more")
+    mixed_members = large.join(mixed, "bucket", "left_semi").join(reps.select("doc_id", "n", "sig"), "doc_id").join(sets, "doc_id")
+    more = materialise(_block_links(mixed_members), "dart-more")
     labels = components(links.union(more), "dart-final")
     named = rep_of.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("class_id"))
     return named
