@@ -1,10 +1,187 @@
-"""All queries of the cohort operators and the SQL that gives the same rows."""
+"""Queries of the cohort operators over the driver tables, and the SQL that gives the same rows.
+
+The tables stand in for the operators' domain: an order is a slice, a line a pixel, the
+return flag its class, the order's priority the sequence; or a vector is an 8 x 8
+image, its elements by threshold the labels, and the mean of an element and its right
+neighbour the prediction; documents and labels are a cohort and its overview.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions import names, values
+from lodestar.operators import audit, cohort, overlap, ranking, splits, surface
+
+FLAGS = ["A", "N", "R"]
+CONFIG = cohort.FilterConfig("strict", 3, 0.55, 500)
+CONFIGS = [CONFIG, cohort.FilterConfig("relaxed", 2, 0.90, None), cohort.FilterConfig("small", 3, 0.55, 50)]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_custkey")
+    return cohort.class_stats(lines, ["l_orderkey"], "l_returnflag", FLAGS).join(orders, "l_orderkey")
+
+
+def slice_filter_audit(spark, sf_dir):
+    return cohort.filter_audit(_stats(spark, sf_dir), "o_orderpriority", "l_orderkey", [CONFIG]).drop("config")
+
+
+def multi_config_audit(spark, sf_dir):
+    return cohort.filter_audit(_stats(spark, sf_dir), "o_orderpriority", "l_orderkey", CONFIGS)
+
+
+def slice_filter_cap(spark, sf_dir):
+    kept = cohort.filter_samples(_stats(spark, sf_dir), "o_orderpriority", "l_orderkey", CONFIG).where("reason is null")
+    return kept.groupBy("o_orderpriority").agg(F.max("eligible").alias("eligible"), F.sum("rank").cast("bigint").alias("rank_sum"), F.sum("l_orderkey").alias("key_sum"))
+
+
+def class_fractions(spark, sf_dir):
+    rows = cohort.fractions(_stats(spark, sf_dir), FLAGS)
+    return rows.select("l_orderkey", "num_classes", F.round("dominant_foreground", 9).alias("dominant"), *(F.round(f"fraction_{c}", 9).alias(f"fraction_{c.lower()}") for c in FLAGS))
+
+
+def imbalance_definitions(spark, sf_dir):
+    rows = cohort.fractions(_stats(spark, sf_dir), FLAGS)
+    share = [F.col(f"fraction_{c}") for c in FLAGS]
+    tests = cohort.imbalance_definitions(share, share[1:])
+    out = cohort.definition_rollup(rows, "o_orderpriority", "o_custkey", F.col("num_classes") == 3, tests, ["fraction_A", "fraction_N", "fraction_R"])
+    return out.select(F.col("o_orderpriority").alias("sequence"), "series", "total", "complete", *(F.col(f"kept_{k}").alias(f"kept_{k.lower()}") for k in tests))
+
+
+def sequence_classify(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", names.sequence_of(F.col("url")).alias("sequence"), names.series_id(F.concat("url", F.lit("_s012.npz"))).alias("series_id"), names.patient_id(F.col("url")).alias("patient_id"))
+
+
+def label_map(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", values.map_label((F.col("l_partkey") % 300).cast("int")).alias("label"))
+
+
+def split_train_val(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    overview = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.when(F.col("quality") == 1, "training").otherwise("validation").alias("subset"), F.col("toxic").alias("pos"))
+    return splits.split_counts(splits.with_subset(docs, "doc_id", overview, "name", "subset", "pos"), ["source"])
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    cut = lambda x: (x >= -0.05).cast("int") + (x >= 0.05).cast("int") + (x >= 0.12).cast("int")
+    return rows.select("vec_id", "label", F.explode(F.transform("e", lambda x, i: F.struct(cut(x).alias("t"), cut((x + F.coalesce(F.get(F.col("e"), i + 1), x)) / 2).alias("p")))).alias("x")).select("vec_id", "label", "x.t", "x.p")
+
+
+def _dice(unit: str):
+    def query(spark, sf_dir):
+        rows = overlap.counts(_pixels(spark, sf_dir), ["vec_id", "label"], "p", "t", 4)
+        return overlap.by_unit(rows, unit, "label").select("class_id", F.round("dice", 9).alias("dice"), F.round("iou", 9).alias("iou"))
+
+    return query
+
+
+def precision_recall_f1(spark, sf_dir):
+    rows = overlap.precision_recall(overlap.counts(_pixels(spark, sf_dir), ["vec_id", "label"], "p", "t", 4))
+    return rows.select("class_id", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def unsmoothed_dice(spark, sf_dir):
+    rows = overlap.plain_dice(overlap.counts(_pixels(spark, sf_dir), ["vec_id", "label"], "p", "t", 4), "vec_id")
+    return rows.select("vec_id", F.round("dice_mean", 9).alias("dice_mean"))
+
+
+def surface_metrics(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    rows = rows.select("vec_id", F.transform("e", lambda x: (x >= 0.05).cast("int")).alias("t"), F.transform("e", lambda x, i: ((x + F.coalesce(F.get(F.col("e"), i + 1), x)) / 2 >= 0.05).cast("int")).alias("p"))
+    return surface.surface_metrics(rows, "vec_id", "p", "t", (8, 8), (0.5, 0.6), 0.5)
+
+
+def worst_k_per_metric(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_discount"), 9).alias("discount"))
+    return ranking.worst_per_metric(rows, ["quantity", "discount"], "l_orderkey", 10)
+
+
+def best_epoch(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return ranking.best_epoch(events, "event_type", "event_id", "value")
+
+
+def pair_integrity(spark, sf_dir):
+    rows = audit.pair_status(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def cohort_fingerprint(spark, sf_dir):
+    return audit.cohort_fingerprint(_read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+def kfold_assign(spark, sf_dir):
+    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return splits.kfold(customers, "c_custkey", 5, 42)
+
+
+def inner_validation(spark, sf_dir):
+    return splits.inner_validation(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 3, 42)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (slice_filter_audit, multi_config_audit, slice_filter_cap, class_fractions, imbalance_definitions, sequence_classify, label_map, split_train_val, precision_recall_f1, unsmoothed_dice, surface_metrics, worst_k_per_metric, best_epoch, pair_integrity, cohort_fingerprint, kfold_assign, inner_validation)
+} | {f"dice_{unit}": _dice(unit) for unit in ("slice", "case", "pixel")}
+
+_STATS = """
+    s AS (SELECT l_orderkey, o_orderpriority, o_custkey, a, n, r, a + n + r AS total, CAST(a > 0 AS INT) + CAST(n > 0 AS INT) + CAST(r > 0 AS INT) AS k,
+                 CAST(greatest(a, n, r) AS DOUBLE) / (a + n + r) AS dom
+          FROM (SELECT l_orderkey, sum(CAST(l_returnflag = 'A' AS BIGINT)) AS a, sum(CAST(l_returnflag = 'N' AS BIGINT)) AS n, sum(CAST(l_returnflag = 'R' AS BIGINT)) AS r
+                FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _audit_sql(configs: list[cohort.FilterConfig], named: bool) -> str:
+    table = ", ".join(f"('{c.name}', {c.min_classes}, CAST({c.threshold} AS DOUBLE), {c.cap if c.cap else 'CAST(NULL AS INT)'})" for c in configs)
+    return f"""WITH {_STATS},
+    c AS (SELECT * FROM (VALUES {table}) AS v(config, least, threshold, cap)),
+    f AS (SELECT *, CASE WHEN k < least THEN 'class' WHEN dom > threshold THEN 'imbalance' END AS reason FROM s, c),
+    w AS (SELECT *, row_number() OVER (PARTITION BY config, o_orderpriority, reason IS NULL ORDER BY l_orderkey) - 1 AS i,
+                 count(*) OVER (PARTITION BY config, o_orderpriority, reason IS NULL) AS m FROM f),
+    p AS (SELECT *, CAST(m - 1 AS DOUBLE) / greatest(cap - 1, 1) AS step FROM w),
+    e AS (SELECT *, reason IS NULL AND (cap IS NULL OR m <= cap OR CASE WHEN cap = 1 THEN i = 0 ELSE
+            i = m - 1 OR floor(floor(i / step) * step) = i OR floor((floor(i / step) + 1) * step) = i END) AS keep FROM p)
+    SELECT {'config, ' if named else ''}o_orderpriority, count(*) AS extracted, CAST(count(*) FILTER (reason = 'class') AS BIGINT) AS removed_class,
+           CAST(count(*) FILTER (reason = 'imbalance') AS BIGINT) AS removed_imbalance, CAST(count(*) FILTER (reason IS NULL AND NOT keep) AS BIGINT) AS removed_cap,
+           CAST(count(*) FILTER (keep) AS BIGINT) AS kept
+    FROM e GROUP BY {'config, ' if named else ''}o_orderpriority"""
+
+
+_CUT = "CAST({0} >= -0.05 AS INT) + CAST({0} >= 0.05 AS INT) + CAST({0} >= 0.12 AS INT)"
+_OVERLAP = f"""
+    x AS (SELECT vec_id, label, CAST(embedding[i] AS DOUBLE) AS e, CAST(coalesce(embedding[i + 1], embedding[i]) AS DOUBLE) AS f
+          FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+    px AS (SELECT vec_id, label, {_CUT.format('e')} AS t, {_CUT.format('((e + f) / 2)')} AS p FROM x),
+    cl AS (SELECT CAST(range AS INT) AS class_id FROM range(4)),
+    n AS (SELECT vec_id, label, class_id, count(*) FILTER (t = class_id AND p = class_id) AS i, count(*) FILTER (p = class_id) AS p, count(*) FILTER (t = class_id) AS t
+          FROM px, cl GROUP BY ALL)"""
+_RATIOS = "round(avg((2.0::DOUBLE * i + 1e-7::DOUBLE) / (p + t + 1e-7::DOUBLE)), 9) AS dice, round(avg((i + 1e-7::DOUBLE) / (p + t - i + 1e-7::DOUBLE)), 9) AS iou"
+_POOLED = "SELECT {0}class_id, sum(i) AS i, sum(p) AS p, sum(t) AS t FROM n GROUP BY ALL"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "slice_filter_audit": _audit_sql([CONFIG], False),
+    "multi_config_audit": _audit_sql(CONFIGS, True),
+    "class_fractions": f"WITH {_STATS} SELECT l_orderkey, k AS num_classes, round(dom, 9) AS dominant, round(a::DOUBLE / total, 9) AS fraction_a, round(n::DOUBLE / total, 9) AS fraction_n, round(r::DOUBLE / total, 9) AS fraction_r FROM s",
+    "sequence_classify": "SELECT page_id, CASE WHEN lower(url) LIKE '%space%' THEN 'T2_SPACE' WHEN lower(url) LIKE '%t2%' THEN 'T2' WHEN lower(url) LIKE '%t1%' THEN 'T1' ELSE 'Unknown' END AS sequence, url AS series_id, split_part(url, '_', 1) AS patient_id FROM pages",
+    "label_map": "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_partkey % 300 BETWEEN 1 AND 99 THEN 1 WHEN l_partkey % 300 = 100 THEN 2 WHEN l_partkey % 300 >= 200 THEN 3 ELSE 0 END AS INT) AS label FROM lineitem",
+    "split_train_val": "SELECT source, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS train, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS validation, CAST(count(*) FILTER (quality IS NULL) AS BIGINT) AS unmatched FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source",
+    "dice_slice": f"WITH {_OVERLAP} SELECT class_id, {_RATIOS} FROM n GROUP BY class_id",
+    "dice_case": f"WITH {_OVERLAP}, g AS ({_POOLED.format('label, ')}) SELECT class_id, {_RATIOS} FROM g GROUP BY class_id",
+    "dice_pixel": f"WITH {_OVERLAP}, g AS ({_POOLED.format('')}) SELECT class_id, {_RATIOS} FROM g GROUP BY class_id",
+    "precision_recall_f1": f"WITH {_OVERLAP}, g AS ({_POOLED.format('')}) SELECT class_id, round(i::DOUBLE / p, 9) AS precision, round(i::DOUBLE / t, 9) AS recall, round(2 * i::DOUBLE / (p + t), 9) AS f1 FROM g",
+    "unsmoothed_dice": f"WITH {_OVERLAP} SELECT vec_id, round(avg(CASE WHEN p + t = 0 THEN 1.0::DOUBLE ELSE 2 * i::DOUBLE / (p + t) END), 9) AS dice_mean FROM n GROUP BY vec_id",
+    "best_epoch": "SELECT event_type, min(event_id) + 1 AS best_epoch, min(value) AS best FROM (SELECT *, max(value) OVER (PARTITION BY event_type) AS m FROM events) WHERE value = m GROUP BY event_type",
+    "pair_integrity": "SELECT CASE WHEN d.doc_id IS NULL THEN 'mask_only' WHEN l.doc_id IS NULL THEN 'image_only' ELSE 'pair' END AS status, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
+    "cohort_fingerprint": "SELECT source, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS sha256 FROM documents GROUP BY source",
+    "worst_k_per_metric": "WITH q AS (SELECT l_orderkey, sum(l_quantity) AS quantity, round(avg(l_discount), 9) AS discount FROM lineitem GROUP BY 1), u AS (SELECT l_orderkey, 'quantity' AS metric, quantity AS value FROM q UNION ALL SELECT l_orderkey, 'discount', discount FROM q), w AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY value, l_orderkey) AS INT) AS rank FROM u) SELECT * FROM w WHERE rank <= 10",
+}
