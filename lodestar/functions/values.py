@@ -80,5 +80,6 @@ def evenly_spaced(row: Column, count: Column, cap: Column) -> Column:
     """Whether row ``row`` (from 0) of ``count`` is among ``cap`` evenly spaced ones, as truncated floating point steps pick them."""
     step = (count - 1).cast("double") / F.greatest(cap - 1, F.lit(1)).cast("double")
     near = F.floor(row / step)
-    picked = (F.floor(near * step) == row) | (F.floor((near + 1) * step) == row) | (row == count - 1)
+    at = lambda i: (i <= cap - 2) & (F.floor(i * step) == row)  # noqa: E731  the last one is the last row, whatever its product rounds to
+    picked = at(near) | at(near + 1) | (row == count - 1)
     return cap.isNull() | (count <= cap) | F.when(cap == 1, row == 0).otherwise(picked)

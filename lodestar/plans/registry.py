@@ -150,7 +150,7 @@ def _audit_sql(configs: list[cohort.FilterConfig], named: bool) -> str:
                  count(*) OVER (PARTITION BY config, o_orderpriority, reason IS NULL) AS m FROM f),
     p AS (SELECT *, CAST(m - 1 AS DOUBLE) / greatest(cap - 1, 1) AS step FROM w),
     e AS (SELECT *, reason IS NULL AND (cap IS NULL OR m <= cap OR CASE WHEN cap = 1 THEN i = 0 ELSE
-            i = m - 1 OR floor(floor(i / step) * step) = i OR floor((floor(i / step) + 1) * step) = i END) AS keep FROM p)
+            i = m - 1 OR (floor(i / step) <= cap - 2 AND floor(floor(i / step) * step) = i) OR (floor(i / step) + 1 <= cap - 2 AND floor((floor(i / step) + 1) * step) = i) END) AS keep FROM p)
     SELECT {'config, ' if named else ''}o_orderpriority, count(*) AS extracted, CAST(count(*) FILTER (reason = 'class') AS BIGINT) AS removed_class,
            CAST(count(*) FILTER (reason = 'imbalance') AS BIGINT) AS removed_imbalance, CAST(count(*) FILTER (reason IS NULL AND NOT keep) AS BIGINT) AS removed_cap,
            CAST(count(*) FILTER (keep) AS BIGINT) AS kept
