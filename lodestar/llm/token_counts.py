@@ -14,36 +14,71 @@ are all zero are left out; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import codec
+from lodestar.llm.bpe import encode_piece, read_ranks
 from lodestar.llm.common import map_rows
 
+#: Pieces whose counts a Python worker keeps (some 200 bytes each); beyond it the memory is dropped and starts anew.
+CACHE_PIECES = 1_000_000
+#: Only pieces of at most this many characters are kept.
+CACHE_CHARS = 64
+#: Bits that hold one tokenizer's count in a packed number; no text has that many tokens.
+_BITS = 40
+
 KEYS = ("source", "lang", "tokenizer")
 _LOG = "batch_id string"
 _DELTA = "source string, lang string, tokenizer string, docs bigint, tokens bigint, bytes bigint"
 
 
+class _Counts(dict):
+    """Piece -> its token counts by all rank files, packed in one number; filled on demand, bounded."""
+
+    def __init__(self, paths: tuple[str, ...]):
+        super().__init__()
+        self.ranks = [read_ranks(path) for path in paths]
+
+    def __missing__(self, piece: str) -> int:
+        raw = piece.encode("utf-8", "surrogatepass")
+        packed = sum(len(encode_piece(raw, ranks)) << (_BITS * i) for i, ranks in enumerate(self.ranks))
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
+@functools.lru_cache(maxsize=4)
+def _counter(paths: tuple[str, ...], pattern: str):
+    """Counts of a text by each rank file: it is split once, and its packed counts are added."""
+    of, split, mask = _Counts(paths).__getitem__, regex.compile(pattern).findall, (1 << _BITS) - 1
+
+    def count(text: str | None) -> list[int]:
+        packed = sum(map(of, split(text))) if text else 0
+        return [packed >> (_BITS * i) & mask for i in range(len(paths))]
+
+    return count
+
+
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], pattern: str) -> DataFrame:
     """(doc_id, source, lang, tokenizer, n_tokens, n_bytes): a row for each document row and tokenizer version.
 
-    ``tokenizers`` maps a version's name to its rank file.
+    ``tokenizers`` maps a version's name to its rank file; all of them split by ``pattern``.
     """
-    names = list(tokenizers)
+    names, paths = list(tokenizers), tuple(tokenizers.values())
 
     def run(batch: pa.RecordBatch) -> list:
+        count = _counter(paths, pattern)
         texts = batch.column(3).to_pylist()
-        cols: list[list] = [[] for _ in range(6)]
-        for name in names:
-            c = codec(tokenizers[name], pattern)
-            for i in range(3):
-                cols[i] += batch.column(i).to_pylist()
-            cols[3] += [name] * len(texts)
-            cols[4] += [ids.count(" ") + 1 if (ids := c.encode_text(t)) else 0 for t in texts]
-            cols[5] += [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-        return cols
+        counts = [count(t) for t in texts]
+        sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        own = [batch.column(i).to_pylist() * len(names) for i in range(3)]
+        return [*own, [name for name in names for _ in texts], [c[i] for i in range(len(names)) for c in counts], sizes * len(names)]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", *(F.col(c).cast("string") for c in ("source", "lang", "text")))

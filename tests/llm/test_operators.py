@@ -238,3 +238,15 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse_arc(warc.arc_header(1, "x", "2026") + b"http://x 0 2026 text/html 99\nshort"))
+
+
+def test_counts_of_all_versions_from_one_split(spark):
+    other = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = [None, "", "a", "déjà vu, 日本 don't  stop\n\n 12345", "x" * 5000, "same", "same"]
+    docs = spark.createDataFrame([(i, t, "s", None, "n") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, tokenizer string")
+    got = token_counts.count_tokens(docs, {"a": RANKS, "b": other}, P.PATTERN).collect()
+    want = set()
+    for name, path in (("a", RANKS), ("b", other)):
+        enc = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+        want |= {(i, "s", None, name, len(enc.encode_ordinary(t or "")), len((t or "").encode())) for i, t in enumerate(texts)}
+    assert {tuple(r) for r in got} == want and len(got) == 2 * len(texts)
