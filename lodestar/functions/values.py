@@ -63,7 +63,7 @@ def strict_score(text: Column) -> Column:
 
 
 def four_decimals(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", x), F.lit("-"))
+    return F.when(x.isNull(), "-").otherwise(F.format_string("%.4f", x))
 
 
 def json_number(x: Column) -> Column:
@@ -83,3 +83,11 @@ def evenly_spaced(row: Column, count: Column, cap: Column) -> Column:
     at = lambda i: (i <= cap - 2) & (F.floor(i * step) == row)  # noqa: E731  the last one is the last row, whatever its product rounds to
     picked = at(near) | at(near + 1) | (row == count - 1)
     return cap.isNull() | (count <= cap) | F.when(cap == 1, row == 0).otherwise(picked)
+
+
+def ensemble(maps: list[Column]) -> Column:
+    """Mean of probability arrays, element by element."""
+    total = maps[0]
+    for m in maps[1:]:
+        total = F.zip_with(total, m, lambda x, y: x + y)
+    return F.transform(total, lambda x: x / len(maps))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +37,50 @@ def target_decision(metrics: DataFrame, run: str, name: str, score: str, floors:
     rows = metrics.where(F.col(name).isin(*floors))
     out = rows.groupBy(run).agg(F.avg(score).alias("macro"), F.bool_and(F.col(score) >= F.element_at(floor, F.col(name))).alias("floors_met"), F.countDistinct(name).alias("classes"))
     return out.withColumn("passed", F.col("floors_met") & (F.col("macro") >= macro) & (F.col("classes") == len(floors)))
+
+
+def experiment_rank(runs: DataFrame, score: str, path: str) -> DataFrame:
+    """Runs with their ``rank``: the greatest score first, runs without one last, ties by path. There is one row a run, so one task ranks them."""
+    return runs.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), path)))
+
+
+def run_summary(runs: DataFrame, condition: str, score: str) -> DataFrame:
+    """Runs, mean and sample deviation of each condition; the deviation of a single run is null."""
+    return runs.groupBy(condition).agg(F.count(score).alias("runs"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))
+
+
+#: Pairs of one comparison that ``signed_rank`` takes into a task.
+MAX_PAIRS = 100_000
+#: Up to so many pairs the distribution of the rank sum is counted out, beyond it the normal one is taken.
+EXACT_PAIRS = 50
+
+
+def signed_rank_p(differences: np.ndarray) -> tuple[float, float]:
+    """The smaller sum of signed ranks and the two-sided p; zeros are left out, ties share their mean rank."""
+    d = differences[differences != 0]
+    n = len(d)
+    if n == 0:
+        return 0.0, 1.0
+    twice = pd.Series(np.abs(d)).rank().to_numpy() * 2  # whole numbers, ties too
+    least = min(twice[d > 0].sum(), twice[d < 0].sum())
+    if n > EXACT_PAIRS:
+        mean, variance = twice.sum() / 2, (twice**2).sum() / 4
+        return least / 2, min(1.0, math.erfc((mean - least) / math.sqrt(2 * variance)))
+    ways = np.zeros(int(twice.sum()) + 1)
+    ways[0] = 1.0
+    for r in twice.astype(int):
+        ways[r:] += ways[:-r].copy()
+    return least / 2, min(1.0, 2 * ways[: int(least) + 1].sum() / 2.0**n)
+
+
+def signed_rank(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """(group, pairs, mean_difference, statistic, p) of a - b: one row a comparison, whose pairs are runs; more than ``MAX_PAIRS`` are an error."""
+    rows = pairs.select(group, (F.col(a) - F.col(b)).cast("double").alias("d")).where(F.col("d").isNotNull() & ~F.isnan("d"))
+    if big := rows.groupBy(group).count().where(F.col("count") > MAX_PAIRS).limit(1).collect():
+        raise ValueError(f"comparison {big[0][0]} has {big[0][1]} pairs")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        d = f["d"].to_numpy()
+        return pd.DataFrame([(f[group].iloc[0], len(d), d.mean(), *signed_rank_p(d))], columns=[group, "pairs", "mean_difference", "statistic", "p"])
+
+    return rows.groupBy(group).applyInPandas(run, f"`{group}` {pairs.schema[group].dataType.simpleString()}, pairs bigint, mean_difference double, statistic double, p double")

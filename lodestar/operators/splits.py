@@ -88,6 +88,23 @@ def train_subsample(train: DataFrame, name: str, count: int, seed: int) -> DataF
     return train.join(train.sparkSession.createDataFrame(drawn, f"`{name}` {train.schema[name].dataType.simpleString()}"), name, "left_semi")
 
 
+def choose(samples: DataFrame, name: str, count: int, start: int = 0, how: str = "even", seed: int = 0) -> DataFrame:
+    """``count`` samples from place ``start`` of the sorted names on: the first, evenly spaced or random ones; all from there on if ``count`` is 0 or reaches the whole list."""
+    names = _sorted_ids(samples, name)
+    rest = names[start:]
+    if not rest:
+        raise ValueError(f"there is no place {start} in a list of {len(names)}")
+    if 0 < count < len(names):
+        some = min(count, len(rest))
+        if how == "random":
+            at = np.random.default_rng(seed).choice(len(rest), size=some, replace=False)
+        else:
+            at = {"first": np.arange(some), "even": np.linspace(0, len(rest) - 1, some, dtype=int)}[how]
+        rest = [rest[i] for i in set(at.tolist())]
+    drawn = samples.sparkSession.createDataFrame([(x,) for x in rest], f"`{name}` {samples.schema[name].dataType.simpleString()}")
+    return samples.join(drawn, name, "left_semi")
+
+
 def image_split(samples: DataFrame, name: str, part: str, seed: int) -> DataFrame:
     """Parts dealt anew over single images, with the sizes they had: test first, then val, then train."""
     names = _sorted_ids(samples, name)

@@ -79,3 +79,46 @@ def mean_distance(x: Column, policy: str, diagonal: Column | None = None) -> Col
 
 def infinite(x: Column) -> Column:
     return F.sum((F.abs(x) == float("inf")).cast("bigint"))
+
+
+def boundary_band(mask: np.ndarray, kernel: int = 5) -> np.ndarray:
+    """Pixels whose kernel-sized neighbourhood within the image holds set and unset ones."""
+    inside = np.ones(mask.shape, bool)
+    before = (kernel - 1) // 2
+    h, w = mask.shape
+
+    def near(x: np.ndarray) -> np.ndarray:
+        wide = np.pad(x, ((before, kernel - 1 - before),) * 2)
+        return np.logical_or.reduce([wide[r : r + h, c : c + w] for r in range(kernel) for c in range(kernel)])
+
+    return near(mask.astype(bool)) & near(inside & ~mask.astype(bool))
+
+
+def resized(image: np.ndarray, shape: tuple[int, int], nearest: bool) -> np.ndarray:
+    """An image at another size: ``nearest`` takes the pixel at the scaled place, else neighbours are weighted by half-pixel centres."""
+    if nearest:
+        at = [np.minimum((np.arange(new) * (old / new)).astype(int), old - 1) for old, new in zip(image.shape, shape, strict=True)]
+        return image[np.ix_(*at)]
+    out = image.astype(float)
+    for axis, (old, new) in enumerate(zip(image.shape, shape, strict=True)):
+        place = np.clip((np.arange(new) + 0.5) * (old / new) - 0.5, 0, old - 1)
+        low = np.floor(place).astype(int)
+        part = (place - low).reshape([-1 if k == axis else 1 for k in range(2)])
+        out = np.take(out, low, axis) * (1 - part) + np.take(out, np.minimum(low + 1, old - 1), axis) * part
+    return out
+
+
+def map_images(rows: DataFrame, key: str, image: str, height: str, width: str, work, kind: str = "double") -> DataFrame:
+    """(key, height, width, image): ``work`` on each flat array as an image of its own size; null images stay null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [None if x is None else work(np.reshape(x, (h, w))) for x, h, w in zip(f[image], f[height], f[width], strict=True)]
+            yield pd.DataFrame({key: f[key], height: [None if o is None else o.shape[0] for o in out], width: [None if o is None else o.shape[1] for o in out], image: [None if o is None else o.ravel().tolist() for o in out]})
+
+    return rows.select(key, height, width, image).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{height}` int, `{width}` int, `{image}` array<{kind}>")
+
+
+def resize_images(rows: DataFrame, key: str, image: str, height: str, width: str, shape: tuple[int, int], nearest: bool = False) -> DataFrame:
+    """Images linearly, or masks (``nearest``) by nearest pixels, at one size."""
+    return map_images(rows, key, image, height, width, lambda x: resized(x, shape, nearest), "int" if nearest else "double")

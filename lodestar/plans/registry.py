@@ -129,9 +129,93 @@ def inner_validation(spark, sf_dir):
     return splits.inner_validation(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 3, 42)
 
 
+def key_parse(spark, sf_dir):
+    base = F.concat(F.col("p_partkey").cast("string"), F.lit("_t2_"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", names.slice_name(base, F.col("p_size")).alias("file"))
+    return rows.select("p_partkey", "file", names.series_id(F.col("file")).alias("series_id"), names.patient_id(F.col("file")).alias("patient_id"), names.slice_index(F.col("file")).alias("slice_index"), names.stem(F.col("file")).alias("case_id"))
+
+
+def minmax_normalise(spark, sf_dir):
+    e = values.minmax(F.transform("embedding", lambda x: x.cast("double")))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(e).alias("i", "x")).select("vec_id", "i", F.round("x", 9).alias("x"))
+
+
+def argmax_class(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select("vec_id", values.argmax(F.col("embedding")).alias("class_id"))
+
+
+def safe_ratio(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.sum((F.col("l_returnflag") == c).cast("bigint")).alias(c) for c in ("A", "R")))
+    ratio = values.ratio(F.col("A"), F.col("R"))
+    return rows.select("l_orderkey", values.four_decimals(F.when(~F.isnan(ratio), ratio)).alias("ratio"), F.isnan(ratio).alias("undefined"))
+
+
+def subset_default(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    overview = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.when(F.col("quality") == 1, "training").otherwise("validation").alias("subset"), F.col("toxic").alias("pos"))
+    return splits.with_subset(docs, "doc_id", overview, "name", "subset", "pos")
+
+
+def raw_audit(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return audit.raw_audit(rows.withColumn("has_mask", F.col("quality").isNotNull()), ["source", "lang"], "has_mask")
+
+
+def duplicate_check(spark, sf_dir):
+    return audit.duplicates(_read(spark, sf_dir, "lineitem").select("l_partkey"), "l_partkey")
+
+
+def macro_means(spark, sf_dir):
+    out = overlap.headline(_dice("slice")(spark, sf_dir), False)
+    return out.select(*(F.round(c, 8).alias(c) for c in out.columns))
+
+
+def mean_row(spark, sf_dir):
+    rows = overlap.with_mean_row(_dice("pixel")(spark, sf_dir).select(F.col("class_id").cast("string").alias("class"), "dice", "iou"), "class", ["dice", "iou"])
+    return rows.select("class", F.round("dice", 8).alias("dice"), F.round("iou", 8).alias("iou"))
+
+
+def experiment_rank(spark, sf_dir):
+    runs = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("run"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("score"))
+    return ranking.experiment_rank(runs, "score", "run")
+
+
+def run_summary(spark, sf_dir):
+    out = ranking.run_summary(_read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return out.select("o_orderpriority", "runs", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def target_check(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.avg("l_discount").alias("score"))
+    out = ranking.target_decision(rows, "l_linenumber", "l_returnflag", "score", {"A": 0.049, "N": 0.0495, "R": 0.049}, 0.05)
+    return out.withColumn("macro", F.round("macro", 9))
+
+
+def paired_signed_rank(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.year("l_shipdate").alias("year")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    return ranking.signed_rank(rows, "l_linenumber", "a", "b")
+
+
+def even_sample(spark, sf_dir):
+    return splits.choose(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 37, 5, "even")
+
+
+def random_cap(spark, sf_dir):
+    return splits.random_cap(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 20, 42)
+
+
+def train_subsample(spark, sf_dir):
+    return splits.train_subsample(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 50, 42)
+
+
+def resize_linear(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), "embedding")
+    return surface.resize_images(rows, "vec_id", "embedding", "height", "width", (16, 12))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (slice_filter_audit, multi_config_audit, slice_filter_cap, class_fractions, imbalance_definitions, sequence_classify, label_map, split_train_val, precision_recall_f1, unsmoothed_dice, surface_metrics, worst_k_per_metric, best_epoch, pair_integrity, cohort_fingerprint, kfold_assign, inner_validation)
+    for f in (slice_filter_audit, multi_config_audit, slice_filter_cap, class_fractions, imbalance_definitions, sequence_classify, label_map, split_train_val, precision_recall_f1, unsmoothed_dice, surface_metrics, worst_k_per_metric, best_epoch, pair_integrity, cohort_fingerprint, kfold_assign, inner_validation, key_parse, minmax_normalise, argmax_class, safe_ratio, subset_default, raw_audit, duplicate_check, macro_means, mean_row, experiment_rank, run_summary, target_check, paired_signed_rank, even_sample, random_cap, train_subsample, resize_linear)
 } | {f"dice_{unit}": _dice(unit) for unit in ("slice", "case", "pixel")}
 
 _STATS = """
@@ -168,7 +252,30 @@ _OVERLAP = f"""
 _RATIOS = "round(avg((2.0::DOUBLE * i + 1e-7::DOUBLE) / (p + t + 1e-7::DOUBLE)), 9) AS dice, round(avg((i + 1e-7::DOUBLE) / (p + t - i + 1e-7::DOUBLE)), 9) AS iou"
 _POOLED = "SELECT {0}class_id, sum(i) AS i, sum(p) AS p, sum(t) AS t FROM n GROUP BY ALL"
 
+_MEANS = f"{_OVERLAP}, d AS (SELECT class_id, {_RATIOS} FROM n GROUP BY class_id)"
+_POOLED_MEANS = f"{_OVERLAP}, g AS ({_POOLED.format('')}), d AS (SELECT class_id, {_RATIOS} FROM g GROUP BY class_id)"
+
 ORACLE: dict[str, str] = {
+    "key_parse": "WITH p AS (SELECT p_partkey, p_partkey || '_t2_' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS base, p_size FROM part) SELECT p_partkey, printf('%s_s%03d.npz', base, p_size) AS file, base AS series_id, CAST(p_partkey AS VARCHAR) AS patient_id, p_size AS slice_index, printf('%s_s%03d', base, p_size) AS case_id FROM p",
+    "minmax_normalise": "WITH x AS (SELECT vec_id, CAST(i - 1 AS INT) AS i, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), m AS (SELECT *, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM x) SELECT vec_id, i, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 9) AS x FROM m",
+    "argmax_class": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS class_id FROM embeddings",
+    "safe_ratio": "WITH n AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN r = 0 THEN '-' ELSE printf('%.4f', a::DOUBLE / r) END AS ratio, r = 0 AS undefined FROM n",
+    "subset_default": "WITH f AS (SELECT doc_id, arg_min(quality, toxic) AS q FROM labels GROUP BY 1) SELECT d.doc_id, CASE WHEN f.doc_id IS NULL THEN 'unmatched' WHEN q = 1 THEN 'training' ELSE 'validation' END AS subset FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id",
+    "raw_audit": "SELECT source, lang, count(*) AS series_count, count(quality) AS mask_count FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2",
+    "duplicate_check": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
+    "macro_means": f"WITH {_MEANS} SELECT round(avg(dice) FILTER (class_id > 0), 8) AS foreground_macro_dice, round(avg(dice), 8) AS all_class_mean_dice, round(avg(dice) FILTER (class_id > 0), 8) AS mean_dice, round(avg(iou) FILTER (class_id > 0), 8) AS mean_iou FROM d",
+    "mean_row": f"WITH {_POOLED_MEANS} SELECT CAST(class_id AS VARCHAR) AS class, round(dice, 8) AS dice, round(iou, 8) AS iou FROM d UNION ALL SELECT 'Mean', round(avg(dice), 8), round(avg(iou), 8) FROM d",
+    "experiment_rank": "WITH r AS (SELECT s_name AS run, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS score FROM supplier) SELECT run, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, run) AS INT) AS rank FROM r",
+    "run_summary": "SELECT o_orderpriority, count(*) AS runs, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS sd FROM orders GROUP BY 1",
+    "target_check": "WITH s AS (SELECT l_linenumber, l_returnflag, avg(l_discount) AS score FROM lineitem GROUP BY 1, 2), t AS (SELECT l_linenumber, avg(score) AS macro, bool_and(score >= CASE l_returnflag WHEN 'N' THEN 0.0495::DOUBLE ELSE 0.049::DOUBLE END) AS floors_met, count(*) AS classes FROM s GROUP BY 1) SELECT l_linenumber, round(macro, 9) AS macro, floors_met, classes, floors_met AND macro >= 0.05::DOUBLE AND classes = 3 AS passed FROM t",
+    "imbalance_definitions": f"""WITH {_STATS}, f AS (SELECT *, k = 3 AS c, a::DOUBLE / total AS fa, n::DOUBLE / total AS fn, r::DOUBLE / total AS fr FROM s)
+        SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'ALL' ELSE o_orderpriority END AS sequence, count(DISTINCT o_custkey) AS series, count(*) AS total, count(*) FILTER (c) AS complete,
+               count(*) FILTER (c AND greatest(fn, fr) / (fn + fr) <= 0.55::DOUBLE) AS kept_a, count(*) FILTER (c AND greatest(fn, fr) / (fn + fr) <= 0.90::DOUBLE) AS kept_a90,
+               count(*) FILTER (c AND greatest(fa, fn, fr) <= 0.55::DOUBLE) AS kept_b, count(*) FILTER (c AND greatest(fn, fr) <= 0.55::DOUBLE) AS kept_c,
+               count(*) FILTER (c AND least(fa, fn, fr) / greatest(fa, fn, fr) >= 0.55::DOUBLE) AS kept_d, count(*) FILTER (c AND least(fn, fr) / greatest(fn, fr) >= 0.55::DOUBLE) AS kept_e,
+               count(*) FILTER (c AND fn + fr <= 0.55::DOUBLE) AS kept_f, count(*) FILTER (c AND greatest(fa, fn, fr) / least(fa, fn, fr) <= 55) AS kept_g
+        FROM f GROUP BY GROUPING SETS ((o_orderpriority), ())""",
+    "slice_filter_cap": _audit_sql([CONFIG], False).rsplit("SELECT o_orderpriority, count(*)", 1)[0] + "SELECT o_orderpriority, max(m) AS eligible, CAST(sum(i) AS BIGINT) AS rank_sum, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM e WHERE keep GROUP BY 1",
     "slice_filter_audit": _audit_sql([CONFIG], False),
     "multi_config_audit": _audit_sql(CONFIGS, True),
     "class_fractions": f"WITH {_STATS} SELECT l_orderkey, k AS num_classes, round(dom, 9) AS dominant, round(a::DOUBLE / total, 9) AS fraction_a, round(n::DOUBLE / total, 9) AS fraction_n, round(r::DOUBLE / total, 9) AS fraction_r FROM s",
