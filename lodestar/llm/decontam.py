@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,7 +40,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-_automata: dict[int, tuple] = {}
+_automata: dict[str, tuple] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,9 +71,13 @@ def windows(items: DataFrame, window: int = WINDOW, key: str = "item_id", text:
     return rows.groupBy("pattern", "words").agg(F.collect_set("item").alias("items"))
 
 
-def _automaton(shared) -> tuple:
-    """The automaton of a broadcast list of (pattern, words, items); kept by the worker."""
-    found = _automata.get(shared.id if hasattr(shared, "id") else id(shared))
+def _automaton(shard) -> tuple:
+    """The automaton of a shard: (token, broadcast list of (pattern, words, items)); kept by the worker under the token.
+
+    The token is the driver's: an address in a worker may be that of an earlier broadcast.
+    """
+    token, shared = shard
+    found = _automata.get(token)
     if found is None:
         patterns = shared.value
         machine = ahocorasick.Automaton()
@@ -82,7 +87,7 @@ def _automaton(shared) -> tuple:
             machine.make_automaton()
         found = (machine, patterns)
         _automata.clear()
-        _automata[shared.id if hasattr(shared, "id") else id(shared)] = found
+        _automata[token] = found
     return found
 
 
@@ -114,13 +119,13 @@ def _scan(text: str | None, machine, patterns) -> tuple[int, list[tuple[int, int
 
 
 def _shards(spark, patterns: DataFrame, limit: int) -> Iterator:
-    """Broadcast lists of windows, each of ``limit`` bytes at most or one window."""
+    """(token, broadcast list of windows), each of ``limit`` bytes at most or one window."""
     patterns = patterns.persist(StorageLevel.DISK_ONLY)
     total = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 2), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-2 * int(total) // limit)) if total > limit else 1
     for k in range(shards):
         part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k).select("pattern", "words", "items")
-        yield spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part.collect()])  # at most about ``limit`` bytes
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part.collect()])  # at most about ``limit`` bytes
     patterns.unpersist()
 
 

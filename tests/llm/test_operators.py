@@ -250,3 +250,15 @@ def test_counts_of_all_versions_from_one_split(spark):
         enc = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
         want |= {(i, "s", None, name, len(enc.encode_ordinary(t or "")), len((t or "").encode())) for i, t in enumerate(texts)}
     assert {tuple(r) for r in got} == want and len(got) == 2 * len(texts)
+
+
+def test_windows_of_one_shard_are_never_scanned_for_another(spark):
+    # many shards over many partitions, and benchmarks one after another, in the same Python workers
+    words = lambda k, j: " ".join(f"b{k}i{j}w{n}" for n in range(10))
+    for k in range(2):
+        items = spark.createDataFrame([(j, words(k, j)) for j in range(40)], "item_id long, text string")
+        docs = frame(spark, [(j, f"start {words(k, j)} end") for j in range(40)] + [(100 + j, words(k + 1, j)) for j in range(40)]).repartition(12)
+        for limit in (decontam.MAX_PATTERN_BYTES, 1500):
+            got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(docs, items, limit=limit).collect()}
+            assert got == {j: (10, 1) for j in range(40)} | {100 + j: (0, 0) for j in range(40)}
+            assert {r.doc_id for r in decontam.decontaminate(docs, items, limit=limit).collect()} == {100 + j for j in range(40)}
