@@ -262,3 +262,27 @@ def test_windows_of_one_shard_are_never_scanned_for_another(spark):
             got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(docs, items, limit=limit).collect()}
             assert got == {j: (10, 1) for j in range(40)} | {100 + j: (0, 0) for j in range(40)}
             assert {r.doc_id for r in decontam.decontaminate(docs, items, limit=limit).collect()} == {100 + j for j in range(40)}
+
+
+def test_equal_lines_of_any_length_go_and_near_ones_from_nine_characters(spark):
+    docs = [(1, "}\n\nAll rights reserved.\nabcdefghi\nabcd"), (2, "}\n\nAll rights reserved.\nabcdefgxi\nabce"), (3, "  \n}\nAll right reserved.\nabcdefghij\nabcd"), (4, "  \n}")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert out == {1: docs[0][1], 2: "\nabce", 3: "  ", 4: "  "}
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near) for r in line_dedup.report(frame(spark, docs)).collect()}
+    assert got == {1: (5, 0, 0), 2: (5, 2, 1), 3: (5, 2, 2), 4: (2, 1, 0)}
+
+
+def test_short_lines_against_all_pairs(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abc d") for _ in range(rng.randint(4, 16))) for _ in range(25)]
+    docs = [(d, "\n".join(changed(rng, rng.choice(base), rng.randint(0, 3)) if d % 2 else rng.choice(base) for _ in range(6))) for d in range(30)]
+    want, seen = [], []
+    for d, t in docs:
+        kept = []
+        for x in t.split("\n"):
+            counts = len(x) >= 9 or x.strip()
+            if not (counts and any(x == y or (min(len(x), len(y)) >= 9 and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2) for y in seen)):
+                kept.append(x)
+            seen.append(x)
+        want.append((d, "\n".join(kept)))
+    assert sorted(tuple(r)[:2] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()) == want
