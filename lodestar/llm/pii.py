@@ -4,6 +4,9 @@ Values are found by pattern, validated (check digits, octets, calendar), and map
 a keyed Feistel permutation of the values that have the same format. Equal values get equal
 pseudonyms in every document, different values different ones, punctuation stays, and
 the result is valid again: card numbers keep a right check digit, dates are days.
+Where a run of digits or an IBAN with its neighbours isn't valid, its parts between separators are tried,
+the longest first. A part may be valid by chance, and a pseudonym with its neighbours too, so that
+only the values of the spans found, not all texts, are sure to come back by ``back``.
 
 Edge cases: a null text stays null and has no findings; an empty text stays empty;
 texts of any length are searched whole; repeated rows are masked alike; an empty table
@@ -29,15 +32,21 @@ KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 _EPOCH, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
 
 _NUMBERS = re.compile(
-    r"(?P<date>(?<![\d.\-/])(?:(?:19|20)\d\d([-/.])(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.])(?:0[1-9]|1[0-2])\3(?:19|20)\d\d)(?![\d\-/]))"
+    r"(?P<date>(?<![\d.\-/])(?:(?:19|20)\d\d([-/.])(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.])(?:0[1-9]|1[0-2])\3(?:19|20)\d\d|(?:0[1-9]|1[0-2])([-/.])(?:1[3-9]|2\d|3[01])\4(?:19|20)\d\d)(?![\d\-/]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\w+])(?:\+?\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+\-.])\+\d{1,3}[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))"
+    r"|(?P<card>(?:(?<![\w\-])|(?<=\d-))\d(?:[ \-]?\d){12,18}(?!\w|-(?!\d)))"
 )
 _MAIL = re.compile(r"(?<![\w.+\-])[A-Za-z0-9_+\-]+(?:\.[A-Za-z0-9_+\-]+)*@(?=[A-Za-z0-9\-]+\.)")
 _DIGIT = re.compile(r"\d")
+_SEPARATOR = re.compile(r"[^0-9A-Za-z]")
+#: Characters of an IBAN by country, from the registry; for other countries all lengths from 15 to 34 are tried.
+_IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -146,12 +155,15 @@ def _ip(value: str, key: bytes, back: bool) -> str | None:
 def _date(value: str, key: bytes, back: bool) -> str | None:
     first = len(value.split(next(c for c in value if not c.isdigit()))[0]) == 4
     d = _only_digits(value)
+    shape = "%Y%m%d" if first else "%m%d%Y" if int(d[2:4]) > 12 else "%d%m%Y"
     try:
-        day = datetime.date(int(d[:4]), int(d[4:6]), int(d[6:])) if first else datetime.date(int(d[4:]), int(d[2:4]), int(d[:2]))
+        day = datetime.datetime.strptime(d, shape).date()
     except ValueError:
         return None
-    fresh = datetime.date.fromordinal(_EPOCH + permute(day.toordinal() - _EPOCH, _DAYS, key, "date", back))
-    return _refill(value, f"{fresh:%Y%m%d}" if first else f"{fresh:%d%m%Y}")
+    while True:  # a month-first date is told by its day beyond 12, so its images have one too
+        day = datetime.date.fromordinal(_EPOCH + permute(day.toordinal() - _EPOCH, _DAYS, key, "date", back))
+        if shape != "%m%d%Y" or day.day > 12:
+            return _refill(value, day.strftime(shape))
 
 
 def _email(value: str, key: bytes, back: bool) -> str | None:
@@ -181,6 +193,38 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return _MAKE[kind](value, key, back)
 
 
+def _parts(kind: str, value: str) -> list[tuple[int, int]]:
+    """The ranges of a candidate that may be a value, in the order to try: all of it, then what begins and ends at separators."""
+    whole = [(0, len(value))]
+    if kind not in ("card", "iban"):
+        return whole
+    cuts = [m.start() for m in _SEPARATOR.finditer(value)]
+    if kind == "iban":
+        size = _IBAN_LENGTHS.get(value[:2])
+        parts = [(0, b) for b in [len(value), *reversed(cuts)]]
+        right = [p for p in parts if p[1] - value.count(" ", 0, p[1]) == size]
+        return right + [p for p in (whole if size else parts) if p not in right]
+    parts = [(a, b) for a in [0, *(c + 1 for c in cuts)] for b in [*cuts, len(value)] if a < b and 13 <= len(_only_digits(value[a:b])) <= 19]
+    return sorted(parts, key=lambda p: (p[0] - p[1], p))
+
+
+def _numbers(text: str, key: bytes, back: bool, taken: set[int]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the valid numbers that don't touch the places ``taken``, which grow by theirs."""
+    at = 0
+    while m := _NUMBERS.search(text, at):
+        kind, value = m.lastgroup, m.group()
+        cut = _SEPARATOR.search(value)
+        at = m.start() + cut.end() if cut else m.end()  # where nothing is valid, a number may begin behind the first separator
+        for a, b in _parts(kind, value):
+            a, b = m.start() + a, m.start() + b
+            fresh = pseudonym(kind, text[a:b], key, back) if taken.isdisjoint(range(a, b)) else None
+            if fresh is not None:
+                yield a, b, kind, fresh
+                taken.update(range(a, b))
+                at = b if a == m.start() else at
+                break
+
+
 def mask_text(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms and (kind, start, end) of what was replaced, in the text given."""
     if not text:
@@ -192,10 +236,7 @@ def mask_text(text: str | None, key: bytes, back: bool = False) -> tuple[str | N
             found.append((m.start(), m.end() - 1, "email", pseudonym("email", local, key, back)))
     if _DIGIT.search(text):
         taken = {at for a, b, *_ in found for at in range(a, b)}
-        for m in _NUMBERS.finditer(text):
-            fresh = pseudonym(m.lastgroup, m.group(), key, back)
-            if fresh is not None and m.start() not in taken:
-                found.append((m.start(), m.end(), m.lastgroup, fresh))
+        found += _numbers(text, key, back, taken)
     if not found:
         return text, []
     found.sort()

@@ -286,3 +286,35 @@ def test_short_lines_against_all_pairs(spark):
             seen.append(x)
         want.append((d, "\n".join(kept)))
     assert sorted(tuple(r)[:2] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+        ("4111111111111111 123", ["4111111111111111"]),
+        ("5 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("1234-4111-1111-1111-1111", ["4111-1111-1111-1111"]),
+        ("4111-1111-1111-1111-2025-06", ["4111-1111-1111-1111"]),
+        ("4111 1111 1111 1112 123", []),
+        ("7 2024-01-31 4111 1111 1111 1111", ["2024-01-31", "4111 1111 1111 1111"]),
+        ("30-02-2020 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("AT61 1904 3002 3457 3201 USD", ["AT61 1904 3002 3457 3201"]),
+        ("AT611904300234573201 EUR", ["AT611904300234573201"]),
+        ("GB82 WEST 1234 5698 7654 32 PAID", ["GB82 WEST 1234 5698 7654 32"]),
+        ("12/31/2020, 31/12/2020, 02/30/2020", ["12/31/2020", "31/12/2020"]),
+        ("4111 1111 1111 1111.a@example.com", ["1111.a"]),
+    ],
+)
+def test_valid_numbers_are_found_beside_others(text, want):
+    fresh, found = pii.mask_text(text, b"k")
+    assert [text[a:b] for _, a, b in found] == want and len(fresh) == len(text)
+    for kind, a, b in found:
+        assert fresh[a:b] != text[a:b] and pii.pseudonym(kind, fresh[a:b], b"k", True) == text[a:b]
+
+
+def test_month_first_dates_stay_month_first():
+    days = [f"{m:02d}/{d}/2{y:03d}" for m in (1, 6, 12) for d in (13, 28) for y in range(99)]
+    fresh = [pii.pseudonym("date", d, b"k") for d in days]
+    assert len(set(fresh)) == len(days) and all(int(x[:2]) <= 12 < int(x[3:5]) for x in fresh)
+    assert [pii.pseudonym("date", x, b"k", True) for x in fresh] == days
