@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that Python receives; long documents make wide rows.
@@ -19,18 +19,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that this process has handed out; ``clear_scratch`` deletes them.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in
-    local tests, a folder of this machine is made and set as checkpoint folder.
+    The folder is ``spark.checkpoint.dir`` of the session, which is only read. Where that is unset, as in
+    local tests, it is a temporary folder of this machine; with any other master that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/lodestar-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``scratch_path`` has handed out so far; results that are still to be read from there must be written before."""
+    jvm, done = spark.sparkContext._jvm, len(_scratch)
+    for path in _scratch:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _scratch.clear()
+    return done
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -40,9 +55,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """Column ``name`` cast to ``kind``."""
-    return df[name].cast(kind)
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(v, c): the least vertex c of the component of each vertex of ``edges`` (a, b); vertices are of any type that has an order.
+
+    Each round a vertex takes the least label around it and then that label's own
+    label, so that paths halve; it ends when nothing changes. Both joins of a round read written
+    tables, so that Spark can split the rows of a vertex with many edges or of a label with many vertices.
+    """
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), name)
+    while True:
+        around = both.join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("a").alias("v")).agg(F.min("cb").alias("m"))
+        near = labels.join(around, "v", "left").select("v", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        fresh = materialise(near.join(jump, "c", "left").select("v", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), name)
+        changed = fresh.where("c <> was").limit(1).count()
+        labels = fresh.select("v", "c")
+        if not changed:
+            return labels
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:
@@ -66,7 +104,3 @@ def _arrow_types(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def sha256_hex(col: Column) -> Column:
-    return F.sha2(col, 256)

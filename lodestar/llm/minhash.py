@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, materialise
+from lodestar.llm.common import components, fresh_name, map_rows, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -198,25 +198,6 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(rows, run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(v, c): the least vertex c of the component of each vertex of ``edges`` (a, b).
-
-    Each round a vertex takes the least label around it and then that label's own
-    label, so that paths halve; it ends when nothing changes.
-    """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), name)
-    while True:
-        around = both.join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("a").alias("v")).agg(F.min("cb").alias("m"))
-        near = labels.join(around, "v", "left").select("v", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        fresh = materialise(near.join(jump, "c", "left").select("v", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), name)
-        changed = fresh.where("c <> was").limit(1).count()
-        labels = fresh.select("v", "c")
-        if not changed:
-            return labels
-
-
 def _with_class(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("v").alias("doc_id"), "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
 

@@ -51,6 +51,78 @@ def changed(rng, text, n):
     return "".join(s)
 
 
+def line_report(docs):
+    """Rows of ``report`` and texts after dedup, by all pairs of different lines."""
+    first, rows = {}, {}
+    for d, t in sorted((d, t) for d, t in docs if t is not None):
+        for i, x in enumerate(t.split("\n")):
+            rows[d, i] = x
+            if len(x) >= line_dedup.MIN_CHARS or x.strip():
+                first[x] = min(first.get(x, (d, i)), (d, i))
+    places = sorted((p, x) for x, p in first.items())
+    least = {p: p for p, _ in places}
+
+    def root(p):
+        while least[p] != p:
+            p = least[p]
+        return p
+
+    for k, (p, a) in enumerate(places):
+        for q, b in places[k + 1 :]:
+            if min(len(a), len(b)) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+                p0, q0 = sorted((root(p), root(q)))
+                least[q0] = p0
+    size = {}
+    for p, _ in places:
+        size[root(p)] = size.get(root(p), 0) + 1
+    out, texts = {}, {}
+    for d, t in docs:
+        n_exact = n_near = n_links = 0
+        members, kept = [], []
+        for i, x in enumerate((t or "").split("\n")):
+            p = first.get(x)
+            if p is not None and (p != (d, i) or size[root(p)] > 1):
+                members.append((i, *root(p)))
+                n_links += size[root(p)] - 1
+                n_exact += p != (d, i)
+                n_near += p == (d, i) != root(p)
+            if p is None or root(p) == (d, i):
+                kept.append(x)
+        texts[d] = t and "\n".join(kept)
+        out[d] = ((t or "").count("\n") + 1 if t else 0, n_exact, n_near, n_links, members or None, hashlib.sha256(texts[d].encode()).hexdigest() if t is not None else None)
+    return out, texts
+
+
+def got_report(spark, docs):
+    rows = line_dedup.report(frame(spark, docs)).collect()
+    return {r.doc_id: (*tuple(r)[1:5], None if r.members is None else [tuple(m) for m in r.members], r.kept_sha256) for r in rows}
+
+
+def test_line_report_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(9, 60))) for _ in range(14)]
+    docs = [(d * 7 % 101, "\n".join(rng.choice(["", " ", "ab", *base, *(changed(rng, rng.choice(base), rng.randint(1, 4)) for _ in range(12))]) for _ in range(rng.randint(1, 6)))) for d in range(60)] + [(700, None), (701, "")]
+    want, texts = line_report(docs)
+    assert any(x[2] for x in want.values()) and any(x[1] for x in want.values())
+    for crowd in (line_dedup.CROWD, 2):  # hubs change the plan, not the rows
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        assert got_report(spark, docs) == want
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} == texts
+
+
+def test_lines_around_a_hub_give_a_few_links_each(spark):
+    rng = random.Random(17)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(60))
+    links = {}
+    for n in (60, 180):
+        docs = [(d, base[: (k := rng.randrange(60))] + rng.choice("klmnopqrstuvwxyz") + base[k + 1 :] + "\n") for d in range(n)]
+        _, found = line_dedup.duplicate_lines(frame(spark, docs, False))
+        links[n] = found.count() / n
+        want, _ = line_report(docs)
+        assert got_report(spark, docs) == want
+    assert links[180] < 1.5 * links[60] and links[180] < 12
+
+
 def test_line_links_are_all_pairs_within_two_edits(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 60))) for _ in range(12)]
@@ -66,6 +138,15 @@ def test_line_links_are_all_pairs_within_two_edits(spark):
     assert {tuple(r) for r in links.collect()} == want and want
 
 
+def test_helper_columns_never_clash(spark):
+    names = ("of_doc", "gone_lines", "__doc", "__lines", "again", "line", "hub", "key", "class_id", "of_gone")
+    row = [str(i) for i in range(len(names))]
+    docs = spark.createDataFrame([(1, "the same line of text", *row), (2, "the same line of text", *row)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {(1, "the same line of text", *row), (2, "", *row)}
+    assert [tuple(r) for r in minhash.keep_one(docs).collect()] == [(1, "the same line of text", *row)]
+
+
 def test_line_dedup_keeps_odd_rows_and_drops_later_lines(spark):
     line = "this line is long enough to be a duplicate of itself"
     rows = [*ODD, (20, f"{line}\nown line of twenty, long enough"), (21, f"{line}\nshort\n"), (22, line.replace("long", "lung"))]
@@ -276,16 +357,9 @@ def test_short_lines_against_all_pairs(spark):
     rng = random.Random(8)
     base = ["".join(rng.choice("abc d") for _ in range(rng.randint(4, 16))) for _ in range(25)]
     docs = [(d, "\n".join(changed(rng, rng.choice(base), rng.randint(0, 3)) if d % 2 else rng.choice(base) for _ in range(6))) for d in range(30)]
-    want, seen = [], []
-    for d, t in docs:
-        kept = []
-        for x in t.split("\n"):
-            counts = len(x) >= 9 or x.strip()
-            if not (counts and any(x == y or (min(len(x), len(y)) >= 9 and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2) for y in seen)):
-                kept.append(x)
-            seen.append(x)
-        want.append((d, "\n".join(kept)))
-    assert sorted(tuple(r)[:2] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()) == want
+    want, texts = line_report(docs)
+    assert got_report(spark, docs) == want
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} == texts
 
 
 @pytest.mark.parametrize(

@@ -5,10 +5,10 @@ import random
 
 import public_tokenizers as P
 import tiktoken
-from test_operators import RANKS, changed, edits
+from test_operators import RANKS, changed, line_report
 
 import corpus_pipeline
-from lodestar.llm import bpe, decontam, line_dedup, minhash, quality
+from lodestar.llm import bpe, decontam, minhash, quality
 
 
 def fixture(rng):
@@ -17,31 +17,16 @@ def fixture(rng):
     common = [line() for _ in range(4)]
     docs = [(i, "\n".join([line() for _ in range(4)] + rng.sample(common, 1) + [changed(rng, rng.choice(common), 2)])) for i in range(30)]
     docs += [(100 + i, "JUNK!! MORE!! " * 20) for i in range(6)]
-    # lines of less than MIN_CHARS characters survive line dedup, so that these are near copies after it too
-    base = [word() for _ in range(150)]
+    # lines broken at other words survive line dedup, so that these are near copies after it too
+    base = [word() + "en" for _ in range(150)]
     for i in range(4):
         words = list(base)
         words[i * 30] = "other"
-        docs.append((200 + i, "\n".join(" ".join(words[k : k + 2]) for k in range(0, 150, 2))))
+        docs.append((200 + i, "\n".join(" ".join(words[k : k + 11 + i]) for k in range(0, 150, 11 + i))))
     docs += [(300, docs[0][1].split("\n")[0] + " and more"), (301, None), (302, ""), (303, "ünï 日本 🙂")]
     return docs, [(1, docs[5][1].split("\n")[0]), (2, None)]
 
 
-def dedup(rows):
-    """Rows without lines within two edits of an earlier line."""
-    seen, out = [], []
-    for d, t in sorted(rows):
-        kept = []
-        for x in (t or "").split("\n"):
-            long = len(x) >= line_dedup.MIN_CHARS
-            if not (long and any(abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in seen)):
-                kept.append(x)
-            if long:
-                seen.append(x)
-        out.append((d, t and "\n".join(kept)))
-    return out
-
-
 def one_each(rows):
     sets = {d: set(minhash.shingles(minhash.words_of(t)).tolist()) for d, t in rows}
     least = {d: d for d in sets}
@@ -63,7 +48,8 @@ def test_stages_equal_plain_python(spark, tmp_path):
     good = {r.doc_id for r in quality.scores(df, quality.train(df, labels)).collect() if r.predicted}
     rows = [(d, t) for d, t in docs if d in good]
     assert not any(100 <= d < 200 for d in good) and len(good) >= 35
-    rows = dedup(rows)
+    texts = line_report(rows)[1]
+    rows = [(d, texts[d]) for d, _ in rows]
     rows = one_each(rows)
     assert [d for d, _ in rows if 200 <= d < 300] == [200]
     window = decontam.words_of(items[0][1])
