@@ -39,11 +39,21 @@ BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2_048
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two next to their largest component, which is exact; neither squares nor sums overflow or vanish then."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 class Codes:
     """Centre and rotated axes; a vector's code is the signs along them, eight to a byte."""
 
     def __init__(self, sample: np.ndarray, k: int, seed: int = 7):
-        x = sample / np.linalg.norm(sample, axis=1)[:, None]
+        x = unit(sample)
         self.centre = x.mean(axis=0)
         _, axes = np.linalg.eigh(np.cov((x - self.centre).T) if len(x) > 1 else np.eye(x.shape[1]))
         flat = (x - self.centre) @ axes
@@ -59,7 +69,7 @@ class Codes:
         self.radius = self._calibrate(x, k)
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        x = x / np.linalg.norm(x, axis=1)[:, None]
+        x = unit(x)
         return np.packbits((x - self.centre) @ self.axes >= 0, axis=1)
 
     def _calibrate(self, x: np.ndarray, k: int) -> int:
@@ -129,9 +139,9 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, key: str = "vec_id", vec
     def search(block: pa.Table, wanted: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if block.num_rows and wanted.num_rows:
-            ids, x = block.column("vec_id").to_numpy(), _matrix(block, dim)
+            ids, x = block.column("vec_id").to_numpy(), scaled(_matrix(block, dim))
             index, norms = MultiIndex(shared.value.of(x)), np.sqrt((x * x).sum(axis=1))
-            q_ids, q = wanted.column("vec_id").to_numpy(), _matrix(wanted, dim)
+            q_ids, q = wanted.column("vec_id").to_numpy(), scaled(_matrix(wanted, dim))
             q_norms, most = np.sqrt((q * q).sum(axis=1)), shared.value.axes.shape[1]
             for i, code in enumerate(shared.value.of(q)):
                 radius = shared.value.radius

@@ -48,11 +48,23 @@ def clear_scratch(spark: SparkSession) -> int:
     return done
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write ``df`` to the shared folder and read it back.
+
+    What was shuffled for it isn't needed after that and is removed at once, not when the driver happens to collect garbage.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh_name(name: str, *frames: DataFrame) -> str:

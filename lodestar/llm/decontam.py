@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, materialise
+from lodestar.llm.common import fresh_name, map_rows, materialise
 
 #: Bytes of windows that one automaton may hold; each byte takes about 60 bytes of memory.
 MAX_PATTERN_BYTES = 4_000_000
@@ -120,13 +119,12 @@ def _scan(text: str | None, machine, patterns) -> tuple[int, list[tuple[int, int
 
 def _shards(spark, patterns: DataFrame, limit: int) -> Iterator:
     """(token, broadcast list of windows), each of ``limit`` bytes at most or one window."""
-    patterns = patterns.persist(StorageLevel.DISK_ONLY)
+    patterns = materialise(patterns, "decontam-windows")
     total = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 2), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-2 * int(total) // limit)) if total > limit else 1
     for k in range(shards):
         part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k).select("pattern", "words", "items")
         yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part.collect()])  # at most about ``limit`` bytes
-    patterns.unpersist()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = MAX_PATTERN_BYTES) -> DataFrame:
@@ -199,12 +197,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", most: float = 0.0, **options) -> DataFrame:
-    """The documents without those of which more than the share ``most`` of the words is hit.
+    """The documents without those of which more than the share ``most`` of the words is hit by any window.
 
     Documents without words stay. Columns are kept as they are. ``most`` 0 drops every document that has a benchmark window.
     """
     spark = docs.sparkSession
     shared = list(_shards(spark, windows(items, options.get("window", WINDOW), options.get("item_key", "item_id"), options.get("item_text", "text")), options.get("limit", MAX_PATTERN_BYTES)))
+    if most > 0 and len(shared) > 1:  # hits of several shards add up, so documents are judged on their union
+        row = fresh_name("of_row", docs)
+        numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+        hit = contamination(numbered, items, key=row, text=text, **options).where(F.col("n_hit") > most * F.col("n_words")).select(row)
+        return numbered.join(hit, row, "left_anti").select(*docs.columns)
     at = docs.columns.index(text)
     out = docs
     schema = docs.schema

@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -272,32 +274,72 @@ def test_contamination_against_brute_force(spark, limit):
     assert all(s.start < s.end <= len(texts[r.doc_id]) for r in got for s in r.spans)
 
 
-def test_minhash_classes_equal_exact_components(spark):
+def near_classes(docs):
+    """Least id of each document's class, by weighted similarity of all pairs."""
+    bags = {}
+    for d, t in docs:
+        if d is not None:
+            bags.setdefault(d, []).append(collections.Counter(zip(*(w[k:] for k in range(5)), strict=False) if len(w := minhash.words_of(t)) > 5 else [tuple(w)] if w else []))
+
+    def alike(x, y):
+        both = sum((x & y).values())
+        return both and both >= 0.8 * sum((x | y).values())
+
+    least = {d: d for d in bags}
+    near = [(a, b) for a in bags for b in bags if a < b and any(alike(x, y) for x in bags[a] for y in bags[b])]
+    for _ in bags:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+@pytest.mark.parametrize(("small", "block", "agree"), [(minhash.SMALL_BUCKET, minhash.BLOCK, minhash.LEAST_AGREEMENT), (2, 7, minhash.LEAST_AGREEMENT)])
+def test_minhash_classes_equal_exact_components(spark, monkeypatch, small, block, agree):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(500)]
     base = [[rng.choice(vocabulary) for _ in range(120)] for _ in range(6)]
+    base[5] = base[5][:30] * 4  # repeated passages: weights count
     docs = []
-    for d in range(120):
+    for d in range(150):
         w = list(base[d % 6])
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         docs.append((d + 10, " ".join(w)))
-    docs += ODD
-    sets = {d: set(minhash.shingles(minhash.words_of(t)).tolist()) for d, t in docs if d is not None}
-    least = {d: d for d in sets}
-    for _ in range(len(sets)):
-        before = dict(least)
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    least[a] = min(least[a], least[b])
-        if before == least:
-            break
+    docs += [(400 + k, " ".join(base[5][:30] * k)) for k in range(1, 8)] + [(5, docs[0][1]), (5, docs[1][1]), *ODD]
+    least = near_classes(docs)
     assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, docs)).collect()} == least
     kept = {r.doc_id for r in minhash.keep_one(frame(spark, docs)).collect()}
     assert kept == {d for d in least if least[d] == d} | {None}
 
 
+def test_large_clusters_give_few_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base, seen = [rng.choice(vocabulary) for _ in range(300)], []
+    verify = minhash._verify
+    monkeypatch.setattr(minhash, "_verify", lambda pairs, sets: seen.append(pairs.count()) or verify(pairs, sets))
+    counts = {}
+    for n in (60, 180):
+        docs = []
+        for d in range(n):
+            w = list(base)
+            w[rng.randrange(300)] = "x"
+            w[rng.randrange(300)] = f"y{d}"
+            docs.append((d, " ".join(w)))
+        seen.clear()
+        assert {r.class_id for r in minhash.classes(frame(spark, docs)).collect()} == {0}
+        counts[n] = sum(seen) / n
+    assert counts[180] < 1.5 * counts[60] and counts[180] < 8
+    assert minhash.classes(frame(spark, [])).count() == 0
+
+
+def test_agreement_cut_loses_less_than_the_bands():
+    lost = sum(math.comb(minhash.K, k) * 0.8**k * 0.2 ** (minhash.K - k) for k in range(minhash.LEAST_AGREEMENT))
+    assert lost < (1 - 0.8**minhash.ROWS) ** minhash.BANDS / 10
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -5,10 +5,10 @@ import random
 
 import public_tokenizers as P
 import tiktoken
-from test_operators import RANKS, changed, line_report
+from test_operators import RANKS, changed, line_report, near_classes
 
 import corpus_pipeline
-from lodestar.llm import bpe, decontam, minhash, quality
+from lodestar.llm import bpe, decontam, quality
 
 
 def fixture(rng):
@@ -28,13 +28,7 @@ def fixture(rng):
 
 
 def one_each(rows):
-    sets = {d: set(minhash.shingles(minhash.words_of(t)).tolist()) for d, t in rows}
-    least = {d: d for d in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    least[a] = min(least[a], least[b])
+    least = near_classes(rows)
     return [(d, t) for d, t in rows if least[d] == d]
 
 
