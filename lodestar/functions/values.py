@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 INF = float("inf")
 
@@ -66,9 +67,24 @@ def four_decimals(x: Column) -> Column:
     return F.when(x.isNull(), "-").otherwise(F.format_string("%.4f", x))
 
 
-def json_number(x: Column) -> Column:
-    """A number's text in JSON: non-finite ones are words."""
-    return F.when(F.isnan(x), "nan").when(x == INF, "inf").when(x == -INF, "-inf").otherwise(x.cast("string"))
+def json_safe(x: Column, kind: DataType) -> Column:
+    """A value of type ``kind`` for JSON, nested ones too: numbers stay numbers, those that aren't finite become the words inf, -inf and nan."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        word = F.when(F.isnan(x), "nan").when(x == INF, "inf").when(x == -INF, "-inf")
+        return F.when(word.isNotNull(), word.cast("variant")).otherwise(x.cast("variant"))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: json_safe(e, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, v: json_safe(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*(json_safe(x.getField(f.name), f.dataType).alias(f.name) for f in kind)))
+    return x
+
+
+def json_text(rows: StructType, keep_nulls: bool = True) -> Column:
+    """The JSON object of a row with the fields of ``rows``."""
+    fields = [json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": str(not keep_nulls).lower()})
 
 
 def fingerprint(names: Column) -> Column:

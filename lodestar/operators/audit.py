@@ -30,3 +30,19 @@ def cohort_fingerprint(names: DataFrame, group: str, key: str) -> DataFrame:
 def manifest_diff(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Rows of either manifest that the other lacks; none if they are equal row by row, places included."""
     return ours.exceptAll(theirs).withColumn("side", F.lit("ours")).unionByName(theirs.exceptAll(ours).withColumn("side", F.lit("theirs")))
+
+
+def require_pairs(wanted: DataFrame, images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """``wanted``, whose names all have an image and a mask; a name that lacks one fails the job."""
+    there = pair_status(images, masks, key).select(key, "status")
+    joined = wanted.join(there, key, "left")
+    wrong = F.coalesce(F.col("status") != "pair", F.lit(True))
+    checked = F.when(wrong, F.raise_error(F.concat_ws(" ", F.lit("no pair for"), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return joined.where(checked).select(*wanted.columns)
+
+
+def expected_present(expected: DataFrame, images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """(key, fault): expected names without a pair are "missing", names of either side that weren't expected are "unexpected"; none if all is as it should be."""
+    want, i, m = (df.select(key).distinct() for df in (expected, images, masks))
+    missing = want.exceptAll(i.intersect(m)).withColumn("fault", F.lit("missing"))
+    return missing.unionByName(i.union(m).distinct().exceptAll(want).withColumn("fault", F.lit("unexpected")))

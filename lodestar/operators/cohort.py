@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.values import evenly_spaced, ratio
+from lodestar.operators.order import places
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,16 @@ def parse_filter_config(text: str) -> FilterConfig:
     return FilterConfig(parts[0], int(parts[1]), float(parts[2]), cap if cap > 0 else None)
 
 
-def class_stats(pixels: DataFrame, keys: list[str], label: str, classes: list, background: list = ()) -> DataFrame:
+def class_stats(pixels: DataFrame, keys: list[str], label: str, classes: list, background: tuple = ()) -> DataFrame:
     """A row for each sample: n_<class>, total, num_classes, and the dominant shares.
 
     A sample without foreground is dominated wholly.
     """
     counts = [F.sum((F.col(label) == c).cast("bigint")).alias(f"n_{c}") for c in classes]
-    rows = pixels.groupBy(*keys).agg(*counts, F.count("*").alias("total"))
+    return _dominance(pixels.groupBy(*keys).agg(*counts, F.count("*").alias("total")), classes, background)
+
+
+def _dominance(rows: DataFrame, classes: list, background: tuple) -> DataFrame:
     front = [F.col(f"n_{c}") for c in classes if c not in background]
     largest = F.greatest(*front) if len(front) > 1 else front[0]
     return (
@@ -43,6 +47,14 @@ def class_stats(pixels: DataFrame, keys: list[str], label: str, classes: list, b
     )
 
 
+def array_stats(rows: DataFrame, keys: list[str], labels: str, classes: int, background: tuple = (0,)) -> DataFrame:
+    """``class_stats`` of label arrays, counted inside each row: pixels are never rows. A null array is a sample without pixels."""
+    cells = F.coalesce(F.col(labels), F.array().cast("array<int>"))
+    of = lambda k: F.size(F.filter(cells, lambda x: x == k)).cast("bigint").alias(f"n_{k}")
+    counts = [of(k) for k in range(classes)]
+    return _dominance(rows.select(*keys, *counts, F.size(cells).cast("bigint").alias("total")), list(range(classes)), background)
+
+
 def fractions(stats: DataFrame, classes: list) -> DataFrame:
     return stats.withColumns({f"fraction_{c}": ratio(F.col(f"n_{c}"), F.col("total"), 0.0) for c in classes})
 
@@ -53,33 +65,50 @@ def rejection(min_classes: Column, threshold: Column) -> Column:
 
 
 def filter_samples(stats: DataFrame, group: str, order: str, config: FilterConfig) -> DataFrame:
-    """All samples with ``reason`` (null: kept) under one filter, caps spread evenly over each group."""
+    """All samples with ``reason`` (null: kept) under one filter, caps spread evenly over each group, and of those that pass, their place and number (``rank``, ``eligible``)."""
     rows = stats.withColumn("reason", rejection(F.lit(config.min_classes), F.lit(config.threshold)))
-    return _capped(rows, [group], order, F.lit(config.cap).cast("int"))
-
+    rest = rows.where("reason is not null").withColumns({"rank": F.lit(None).cast("bigint"), "eligible": F.lit(None).cast("bigint")})
+    passed = places(rows.where("reason is null"), [group], [order]).withColumnsRenamed({"place": "rank", "members": "eligible"})
+    kept = evenly_spaced(F.col("rank"), F.col("eligible"), F.lit(config.cap).cast("int"))
+    return passed.withColumn("reason", F.when(~kept, "cap")).unionByName(rest)
 
-def _capped(rows: DataFrame, groups: list[str], order: str, cap: Column) -> DataFrame:
-    # samples, not pixels, are ranked: a group's rows are sorted by one task as an evenly spaced pick needs their ranks
-    eligible = F.col("reason").isNull()
-    by = Window.partitionBy(*groups, eligible)
-    rows = rows.withColumn("rank", F.row_number().over(by.orderBy(order)) - 1).withColumn("eligible", F.count("*").over(by))
-    kept = evenly_spaced(F.col("rank"), F.col("eligible"), cap)
-    return rows.withColumn("reason", F.when(~eligible, F.col("reason")).when(~kept, "cap"))
 
+def filter_audit(stats: DataFrame, group: str, configs: list[FilterConfig]) -> DataFrame:
+    """Counts for each filter and group: extracted = removed_class + removed_imbalance + removed_cap + kept.
 
-def filter_audit(stats: DataFrame, group: str, order: str, configs: list[FilterConfig]) -> DataFrame:
-    """Counts for each filter and group: extracted = removed_class + removed_imbalance + removed_cap + kept."""
+    An evenly spaced pick keeps as many as its cap, so counts need no ranks.
+    """
     spark = stats.sparkSession
     table = spark.createDataFrame([(c.name, c.min_classes, c.threshold, c.cap) for c in configs], "config string, min_classes int, threshold double, cap int")
     rows = stats.crossJoin(F.broadcast(table))  # a handful of configurations
-    rows = _capped(rows.withColumn("reason", rejection(F.col("min_classes"), F.col("threshold"))), ["config", group], order, F.col("cap"))
+    reason = rejection(F.col("min_classes"), F.col("threshold"))
     n = lambda what: F.sum(what.cast("bigint"))
-    reason = F.col("reason")
-    return rows.groupBy("config", group).agg(
+    found = rows.groupBy("config", group, "cap").agg(
         F.count("*").alias("extracted"),
-        *(n(F.coalesce(reason == r, F.lit(False))).alias(name) for r, name in (("class_count", "removed_class"), ("imbalance", "removed_imbalance"), ("cap", "removed_cap"))),
-        n(reason.isNull()).alias("kept"),
+        *(n(F.coalesce(reason == r, F.lit(False))).alias(name) for r, name in (("class_count", "removed_class"), ("imbalance", "removed_imbalance"))),
+        n(reason.isNull()).alias("passed"),
     )
+    kept = F.least("passed", F.coalesce("cap", "passed"))
+    return found.select("config", group, "extracted", "removed_class", "removed_imbalance", (F.col("passed") - kept).alias("removed_cap"), kept.alias("kept"))
+
+
+def foreground_fractions(stats: DataFrame, front: list) -> Column:
+    """Map of the foreground classes of a sample to their shares of it; empty without foreground."""
+    whole = sum((F.col(f"n_{c}") for c in front[1:]), F.col(f"n_{front[0]}"))
+    pairs = F.array(*(F.struct(F.lit(str(c)).alias("key"), ratio(F.col(f"n_{c}"), whole, 0.0).alias("value")) for c in front))
+    return F.map_from_entries(F.filter(pairs, lambda x: x["value"] > 0))
+
+
+def filter_statistics(samples: DataFrame, broken: DataFrame, group: str) -> DataFrame:
+    """One row on a filter's run: all files, broken ones too, what was removed and why, and what was kept, in all and by group.
+
+    ``samples`` as ``filter_samples`` gives them, ``broken`` a row for each file that couldn't be read.
+    """
+    n = lambda r: F.count(F.when(F.col("reason") == r, 1))
+    groups = samples.groupBy(group).agg(F.count("*").alias("rows"), n("class_count").alias("c"), n("imbalance").alias("i"), n("cap").alias("k"), F.count(F.when(F.col("reason").isNull(), 1)).alias("kept"))
+    whole = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *(F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("c", "removed_class_count"), ("i", "removed_imbalance"), ("k", "removed_sequence_cap"), ("kept", "kept"))), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kept") > 0, F.struct(group, "kept"))))).alias("kept_by_sequence"))
+    bad = broken.agg(F.count("*").alias("corrupt_files"))
+    return whole.crossJoin(bad).select((F.col("rows") + F.col("corrupt_files")).alias("before_filtering"), "removed_class_count", "removed_imbalance", "removed_sequence_cap", "corrupt_files", "kept", "kept_by_sequence")
 
 
 def imbalance_definitions(all_classes: list[Column], front: list[Column]) -> dict[str, Column]:

@@ -18,6 +18,16 @@ def counts(pixels: DataFrame, keys: list[str], pred: str, true: str, classes: in
     return wide.select(*keys, F.explode(F.array(*(f"c{k}" for k in range(classes)))).alias("x")).select(*keys, "x.*")
 
 
+def array_counts(rows: DataFrame, keys: list[str], pred: str, true: str, classes: int) -> DataFrame:
+    """``counts`` of label arrays, counted inside each row: pixels are never rows. A null array counts as empty; of arrays of unequal length the longer one's rest has no partner."""
+    p, t = F.coalesce(F.col(pred), F.array().cast("array<int>")), F.coalesce(F.col(true), F.array().cast("array<int>"))
+    both = F.filter(F.zip_with(p, t, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+    n = lambda array, k: F.size(F.filter(array, lambda x: x == k)).cast("bigint")
+    rows = rows.select(*keys, both.alias("__b"), p.alias("__p"), t.alias("__t"))
+    each = F.array(*(F.struct(F.lit(k).alias("class_id"), n(F.col("__b"), k).alias("inter"), n(F.col("__p"), k).alias("pred"), n(F.col("__t"), k).alias("true")) for k in range(classes)))
+    return rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+
+
 def dice(i: Column, p: Column, t: Column, smooth: float = SMOOTH) -> Column:
     return (2.0 * i + smooth) / (p + t + smooth)
 
@@ -43,6 +53,17 @@ def headline(metrics: DataFrame, background: bool) -> DataFrame:
     return metrics.agg(F.avg(front).alias("foreground_macro_dice"), F.avg("dice").alias("all_class_mean_dice"), F.avg(F.when(used, F.col("dice"))).alias("mean_dice"), F.avg(F.when(used, F.col("iou"))).alias("mean_iou"))
 
 
+def cohort_size(rows: DataFrame, sample: str, case: str) -> DataFrame:
+    """Slices and cases that a score rests on."""
+    return rows.agg(F.countDistinct(sample).alias("n_slices"), F.countDistinct(case).alias("n_cases"))
+
+
+def csv_headline(metrics: DataFrame, front: list[str], name: str = "class", score: str = "dice", mean: str = "Mean") -> DataFrame:
+    """Of a metric table with named classes: the mean over the ``front`` classes, null if one is missing, and that over all rows but the ``mean`` row."""
+    own, several = F.when(F.col(name).isin(front), F.col(score)), F.countDistinct(F.when(F.col(name).isin(front), F.col(name)))
+    return metrics.agg(F.when(several == len(front), F.avg(own)).alias("foreground_macro_dice"), F.avg(F.when(F.col(name) != mean, F.col(score))).alias("all_class_mean_dice"))
+
+
 def precision_recall(rows: DataFrame) -> DataFrame:
     """Pooled, one class against the rest; 0 where undefined."""
     pooled = rows.groupBy("class_id").agg(*(F.sum(c).alias(c) for c in ("inter", "pred", "true")))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.order import places
+
 
 def rank_rows(rows: DataFrame, metric: str, name: str, k: int, descending: bool = False) -> DataFrame:
     """The first ``k`` by metric and name; ``descending`` reverses both; 0: all."""
@@ -24,11 +26,11 @@ def worst_per_metric(rows: DataFrame, metrics: list[str], name: str, k: int) ->
     return each.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def best_epoch(log: DataFrame, run: str, epoch: str, metric: str) -> DataFrame:
-    """The earliest epoch (from 1) with the greatest metric; NaN never wins."""
+def best_epoch(log: DataFrame, run: str, epoch: str, metric: str, carry: str | None = None) -> DataFrame:
+    """The earliest epoch (from 1) with the greatest metric, and that epoch's ``carry``; NaN never wins."""
     rows = log.where(F.col(metric).isNotNull() & ~F.isnan(metric))
-    best = rows.groupBy(run).agg(F.max(F.struct(F.col(metric), (-F.col(epoch)).alias("e"))).alias("b"))
-    return best.select(run, (1 - F.col("b.e")).alias("best_epoch"), F.col(f"b.{metric}").alias("best"))
+    best = rows.groupBy(run).agg(F.max(F.struct(F.col(metric), (-F.col(epoch)).alias("e"), *([carry] if carry else []))).alias("b"))
+    return best.select(run, (1 - F.col("b.e")).alias("best_epoch"), F.col(f"b.{metric}").alias("best"), *([F.col(f"b.{carry}")] if carry else []))
 
 
 def target_decision(metrics: DataFrame, run: str, name: str, score: str, floors: dict[str, float], macro: float) -> DataFrame:
@@ -40,8 +42,46 @@ def target_decision(metrics: DataFrame, run: str, name: str, score: str, floors:
 
 
 def experiment_rank(runs: DataFrame, score: str, path: str) -> DataFrame:
-    """Runs with their ``rank``: the greatest score first, runs without one last, ties by path. There is one row a run, so one task ranks them."""
-    return runs.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), path)))
+    """Runs with their ``rank``: the greatest score first, runs without one last, ties by path."""
+    return places(runs, [], [F.col(score).desc_nulls_last(), F.col(path)]).select(*runs.columns, (F.col("place") + 1).cast("int").alias("rank"))
+
+
+def first_n(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of a list by its position; all if ``n`` is 0."""
+    return rows.orderBy(order).limit(n) if n > 0 else rows
+
+
+def first_verified(ranked: DataFrame, met: str, verified: str) -> DataFrame:
+    """The best ranked run that meets its target within the verified scope, if any."""
+    return ranked.where(F.col(met) & F.col(verified)).orderBy("rank").limit(1)
+
+
+def experiment_summary(metrics: DataFrame, log: DataFrame, configs: DataFrame, floors: dict[str, float], macro: float, scope: str, mean: str = "Mean") -> DataFrame:
+    """A row for each run that has a ``mean`` row, ranked by the macro mean over the classes of ``floors``.
+
+    ``metrics``: run, class, dice, iou; ``log``: run, epoch from 0, val_mean_iou, val_dice; ``configs``: run, config map. A run without a score of
+    each class has no macro mean and doesn't meet the target; runs without log or configuration have nulls, and a scope that isn't verified.
+    """
+    of = lambda name, column="dice": F.max(F.when(F.col("class") == name, F.col(column)))
+    wide = metrics.groupBy("run").agg(F.bool_or(F.col("class") == mean).alias("has_mean"), of(mean).alias("mean_dice"), of(mean, "iou").alias("mean_iou"), *(of(c).alias(f"dice_{i}") for i, c in enumerate(floors))).where("has_mean")
+    scores = [F.col(f"dice_{i}") for i in range(len(floors))]
+    total = sum(scores[1:], scores[0]) / len(scores)  # null if one is
+    passed = F.lit(True)
+    for x, floor in zip(scores, floors.values(), strict=True):
+        passed = passed & (x >= floor)
+    best = best_epoch(log, "run", "epoch", "val_mean_iou", carry="val_dice")
+    out = wide.join(best, "run", "left").join(configs, "run", "left")
+    out = out.select(
+        "run", "mean_dice", "mean_iou", *(f"dice_{i}" for i in range(len(floors))), total.alias("macro"), F.coalesce(passed & (total >= macro), F.lit(False)).alias("target_met"),
+        F.coalesce(F.element_at("config", F.lit("sequences")) == scope, F.lit(False)).alias("scope_verified"), "best_epoch", F.col("best").alias("best_val_mean_iou"), F.col("val_dice").alias("best_val_dice"),
+    )
+    return experiment_rank(out, "macro", "run")
+
+
+def scope_check(decisions: DataFrame, configs: DataFrame, run: str, required: str, key: str = "sequences") -> DataFrame:
+    """Target decisions with what the run's manifest states under ``key`` and whether that is the ``required`` scope."""
+    stated = configs.select(run, F.try_element_at("config", F.lit(key)).alias("stated"))
+    return decisions.join(stated, run, "left").withColumn("in_scope", F.coalesce(F.col("stated") == required, F.lit(False)))
 
 
 def run_summary(runs: DataFrame, condition: str, score: str) -> DataFrame:

@@ -22,45 +22,56 @@ def surface(mask: np.ndarray) -> np.ndarray:
     return mask & ~erode(mask)
 
 
-def distance_to(points: np.ndarray, spacing: tuple[float, float]) -> np.ndarray:
-    """Euclidean distance of each pixel to the nearest set one: columns first, then rows over their squares."""
+def distance_to(points: np.ndarray, spacing: tuple[float, float], at: np.ndarray) -> np.ndarray:
+    """Euclidean distance of the pixels that are set in ``at`` to the nearest one set in ``points``.
+
+    Down each column the nearest set pixel is carried along both ways; over the columns, only the rows of
+    the pixels asked for are searched, some thousands at once.
+    """
     h, w = points.shape
-    rows = np.arange(h)
-    apart = np.full((h, w), np.inf)
-    for c in range(w):
-        at = np.flatnonzero(points[:, c])
-        if len(at):
-            apart[:, c] = np.abs(rows[:, None] - at[None, :]).min(axis=1) * spacing[0]
-    across = (np.arange(w)[:, None] - np.arange(w)[None, :]) * spacing[1]
-    return np.sqrt(np.stack([(apart[r][None, :] ** 2 + across**2).min(axis=1) for r in range(h)]))
+    rows, far = np.arange(h)[:, None], np.inf
+    above = np.maximum.accumulate(np.where(points, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(points, rows, far)[::-1], axis=0)[::-1]
+    down = (np.minimum(rows - above, below - rows) * spacing[0]) ** 2
+    r, c = np.nonzero(at)
+    out, columns = np.empty(len(r)), np.arange(w)
+    for k in range(0, len(r), 4096):
+        part = slice(k, k + 4096)
+        out[part] = (down[r[part]] + ((columns[None, :] - c[part, None]) * spacing[1]) ** 2).min(axis=1)
+    return np.sqrt(out)
 
 
-def surface_distances(pred: np.ndarray, true: np.ndarray, spacing: tuple[float, float]) -> np.ndarray:
-    """Both ways; 0 if both are empty, inf if one is."""
-    a, b = surface(pred), surface(true)
-    if not a.any() and not b.any():
-        return np.zeros(1)
-    if not a.any() or not b.any():
-        return np.array([np.inf])
-    return np.concatenate([distance_to(b, spacing)[a], distance_to(a, spacing)[b]])
+#: Distances where neither mask has a surface, and where only one has.
+NO_SURFACE, ONE_SURFACE = 0.0, float("inf")
 
 
-def metrics_of(pred: np.ndarray, true: np.ndarray, spacing: tuple[float, float], tolerance: float) -> tuple[float, float, float, float]:
-    """ASD, HD, HD95 and NSD."""
+def surface_distances(pred: np.ndarray, true: np.ndarray, spacing: tuple[float, float]) -> np.ndarray:
+    """Distances from each surface to the other; 0 if both are empty, inf if one is."""
+    edges = [surface(pred), surface(true)]
+    empty = sum(not e.any() for e in edges)
+    if empty:
+        return np.array([NO_SURFACE if empty == 2 else ONE_SURFACE])
+    return np.concatenate([distance_to(to, spacing, own) for own, to in (edges, edges[::-1])])
+
+
+def metrics_of(pred: np.ndarray | None, true: np.ndarray | None, spacing: tuple[float, float], tolerance: float) -> tuple[float | None, float | None, float | None, float | None]:
+    """ASD, HD, HD95 and NSD; nulls if a mask is null."""
+    if pred is None or true is None:
+        return None, None, None, None
     d = surface_distances(pred, true, spacing)
-    if np.isinf(d).any():
-        return float("inf"), float("inf"), float("inf"), 0.0
-    return float(d.mean()), float(d.max()), float(np.percentile(d, 95)), float((d <= tolerance).mean())
+    summary = (np.full(3, d[0]) if np.isinf(d[0]) else np.array([d.mean(), d.max(), np.percentile(d, 95)])).tolist()
+    return (*summary, float(np.mean(d <= tolerance)))
 
 
 def surface_metrics(rows: DataFrame, key: str, pred: str, true: str, shape: tuple[int, int], spacing: tuple[float, float], tolerance: float) -> DataFrame:
-    """(key, asd, hd, hd95, nsd) of masks that are flat arrays of one shape."""
+    """(key, asd, hd, hd95, nsd) of masks that are flat arrays of one shape; null for null masks."""
     kind = rows.schema[key].dataType.simpleString()
+    image = lambda x: None if x is None else np.reshape(x, shape)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [metrics_of(np.reshape(p, shape), np.reshape(t, shape), spacing, tolerance) for p, t in zip(f[pred], f[true], strict=True)]
-            yield pd.DataFrame(out, columns=["asd", "hd", "hd95", "nsd"]).assign(**{key: f[key].to_numpy()})[[key, "asd", "hd", "hd95", "nsd"]]
+            out = [metrics_of(image(p), image(t), spacing, tolerance) for p, t in zip(f[pred], f[true], strict=True)]
+            yield pd.DataFrame(out, columns=["asd", "hd", "hd95", "nsd"], dtype="Float64").assign(**{key: f[key].to_numpy()})[[key, "asd", "hd", "hd95", "nsd"]]
 
     return rows.select(key, pred, true).mapInPandas(run, f"`{key}` {kind}, asd double, hd double, hd95 double, nsd double")
 
@@ -119,6 +130,11 @@ def map_images(rows: DataFrame, key: str, image: str, height: str, width: str, w
     return rows.select(key, height, width, image).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{height}` int, `{width}` int, `{image}` array<{kind}>")
 
 
+def boundary_bands(rows: DataFrame, key: str, mask: str, height: str, width: str, kernel: int = 5) -> DataFrame:
+    """Masks as their boundary bands of 0 and 1."""
+    return map_images(rows, key, mask, height, width, lambda x: boundary_band(x > 0, kernel).astype(int), "int")
+
+
 def resize_images(rows: DataFrame, key: str, image: str, height: str, width: str, shape: tuple[int, int], nearest: bool = False) -> DataFrame:
     """Images linearly, or masks (``nearest``) by nearest pixels, at one size."""
     return map_images(rows, key, image, height, width, lambda x: resized(x, shape, nearest), "int" if nearest else "double")

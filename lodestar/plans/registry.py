@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import names, values
-from lodestar.operators import audit, cohort, overlap, ranking, splits, surface
+from lodestar.operators import audit, cohort, overlap, ranking, splits
+from lodestar.plans import formats, protocol
 
 FLAGS = ["A", "N", "R"]
 CONFIG = cohort.FilterConfig("strict", 3, 0.55, 500)
@@ -32,11 +33,11 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_filter_audit(spark, sf_dir):
-    return cohort.filter_audit(_stats(spark, sf_dir), "o_orderpriority", "l_orderkey", [CONFIG]).drop("config")
+    return cohort.filter_audit(_stats(spark, sf_dir), "o_orderpriority", [CONFIG]).drop("config")
 
 
 def multi_config_audit(spark, sf_dir):
-    return cohort.filter_audit(_stats(spark, sf_dir), "o_orderpriority", "l_orderkey", CONFIGS)
+    return cohort.filter_audit(_stats(spark, sf_dir), "o_orderpriority", CONFIGS)
 
 
 def slice_filter_cap(spark, sf_dir):
@@ -95,12 +96,6 @@ def unsmoothed_dice(spark, sf_dir):
     return rows.select("vec_id", F.round("dice_mean", 9).alias("dice_mean"))
 
 
-def surface_metrics(spark, sf_dir):
-    rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    rows = rows.select("vec_id", F.transform("e", lambda x: (x >= 0.05).cast("int")).alias("t"), F.transform("e", lambda x, i: ((x + F.coalesce(F.get(F.col("e"), i + 1), x)) / 2 >= 0.05).cast("int")).alias("p"))
-    return surface.surface_metrics(rows, "vec_id", "p", "t", (8, 8), (0.5, 0.6), 0.5)
-
-
 def worst_k_per_metric(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_discount"), 9).alias("discount"))
     return ranking.worst_per_metric(rows, ["quantity", "discount"], "l_orderkey", 10)
@@ -120,15 +115,6 @@ def cohort_fingerprint(spark, sf_dir):
     return audit.cohort_fingerprint(_read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
-def kfold_assign(spark, sf_dir):
-    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return splits.kfold(customers, "c_custkey", 5, 42)
-
-
-def inner_validation(spark, sf_dir):
-    return splits.inner_validation(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 3, 42)
-
-
 def key_parse(spark, sf_dir):
     base = F.concat(F.col("p_partkey").cast("string"), F.lit("_t2_"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
     rows = _read(spark, sf_dir, "part").select("p_partkey", names.slice_name(base, F.col("p_size")).alias("file"))
@@ -191,32 +177,11 @@ def target_check(spark, sf_dir):
     return out.withColumn("macro", F.round("macro", 9))
 
 
-def paired_signed_rank(spark, sf_dir):
-    rows = _read(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.year("l_shipdate").alias("year")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
-    return ranking.signed_rank(rows, "l_linenumber", "a", "b")
-
-
-def even_sample(spark, sf_dir):
-    return splits.choose(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 37, 5, "even")
-
-
-def random_cap(spark, sf_dir):
-    return splits.random_cap(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 20, 42)
-
-
-def train_subsample(spark, sf_dir):
-    return splits.train_subsample(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 50, 42)
-
-
-def resize_linear(spark, sf_dir):
-    rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), "embedding")
-    return surface.resize_images(rows, "vec_id", "embedding", "height", "width", (16, 12))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (slice_filter_audit, multi_config_audit, slice_filter_cap, class_fractions, imbalance_definitions, sequence_classify, label_map, split_train_val, precision_recall_f1, unsmoothed_dice, surface_metrics, worst_k_per_metric, best_epoch, pair_integrity, cohort_fingerprint, kfold_assign, inner_validation, key_parse, minmax_normalise, argmax_class, safe_ratio, subset_default, raw_audit, duplicate_check, macro_means, mean_row, experiment_rank, run_summary, target_check, paired_signed_rank, even_sample, random_cap, train_subsample, resize_linear)
+    for f in (slice_filter_audit, multi_config_audit, slice_filter_cap, class_fractions, imbalance_definitions, sequence_classify, label_map, split_train_val, precision_recall_f1, unsmoothed_dice, worst_k_per_metric, best_epoch, pair_integrity, cohort_fingerprint, key_parse, minmax_normalise, argmax_class, safe_ratio, subset_default, raw_audit, duplicate_check, macro_means, mean_row, experiment_rank, run_summary, target_check)
 } | {f"dice_{unit}": _dice(unit) for unit in ("slice", "case", "pixel")}
+QUERIES |= formats.QUERIES | protocol.QUERIES
 
 _STATS = """
     s AS (SELECT l_orderkey, o_orderpriority, o_custkey, a, n, r, a + n + r AS total, CAST(a > 0 AS INT) + CAST(n > 0 AS INT) + CAST(r > 0 AS INT) AS k,
@@ -292,3 +257,5 @@ ORACLE: dict[str, str] = {
     "cohort_fingerprint": "SELECT source, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS sha256 FROM documents GROUP BY source",
     "worst_k_per_metric": "WITH q AS (SELECT l_orderkey, sum(l_quantity) AS quantity, round(avg(l_discount), 9) AS discount FROM lineitem GROUP BY 1), u AS (SELECT l_orderkey, 'quantity' AS metric, quantity AS value FROM q UNION ALL SELECT l_orderkey, 'discount', discount FROM q), w AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY value, l_orderkey) AS INT) AS rank FROM u) SELECT * FROM w WHERE rank <= 10",
 }
+
+ORACLE |= formats.ORACLE | protocol.ORACLE

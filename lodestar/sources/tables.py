@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.values import json_number, optional_float, strict_score
+from lodestar.functions.values import json_text, optional_float, strict_score
 
 
 def _ensure(df: DataFrame, wrong: DataFrame, what: str) -> DataFrame:
@@ -97,18 +97,65 @@ def write_table(rows: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def append_records(rows: DataFrame, path: str) -> None:
-    """One JSON object a row, appended; numbers that aren't finite are words."""
-    fixed = [json_number(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in rows.schema]
-    rows.select(*fixed).write.mode("append").json(path)
+    """One JSON object a row, appended; numbers that aren't finite are words, at any depth, and all others stay numbers."""
+    rows.select(json_text(rows.schema).alias("value")).write.mode("append").text(path)
 
 
-def ranking_report(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
-    """A Markdown table of ranked runs, in the order given; a report of more than ``most`` rows is an error."""
-    found = rows.select(*columns).limit(most + 1).collect()
+def _few(rows: DataFrame, most: int) -> list:
+    found = rows.limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} rows for one report")
-    cell = lambda x: "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
-    return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in found)])
+    return found
+
+
+def _cell(x: object) -> str:
+    return "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+
+
+def _table(head: list[str], rows: list[list]) -> str:
+    return "\n".join("| " + " | ".join(r) + " |" for r in [head, ["---"] * len(head), *([_cell(x) for x in row] for row in rows)])
+
+
+def ranking_report(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A Markdown table of ranked runs, in the order given; a report of more than ``most`` rows is an error."""
+    return _table(columns, [list(r) for r in _few(rows.select(*columns), most)])
+
+
+def count_report(counts: DataFrame, group: str, order: list[str], tests: list[str], most: int = 1000) -> str:
+    """A Markdown table with a column for each group in ``order`` and a line for series, samples, complete ones, and each test's kept samples (and series).
+
+    ``counts`` has the columns group, series, total, complete, and kept_<test> and series_<test> of each test.
+    """
+    found = {r[group]: r for r in _few(counts, most)}
+    cell = lambda g, f: f(found[g]) if g in found else 0
+    lines = [[name, *(cell(g, lambda r, name=name: r[name]) for g in order)] for name in ("series", "total", "complete")]
+    lines += [[t, *(cell(g, lambda r, t=t: f"{r[f'kept_{t}']} ({r[f'series_{t}']})") for g in order)] for t in tests]
+    return _table(["", *order], lines)
+
+
+def count_json(counts: DataFrame, group: str, errors: DataFrame, definitions: dict[str, str], most: int = 1000) -> str:
+    """The counts of each group, the definitions' texts and the errors, as one JSON document."""
+    summary = {r[0]: json.loads(r[1]) for r in _few(counts.select(group, json_text(counts.drop(group).schema)), most)}
+    return json.dumps({"definitions": definitions, "errors": sorted(r[0] for r in _few(errors, most)), "summary": summary}, sort_keys=True, indent=1, ensure_ascii=False)
+
+
+def fold_json(folds: DataFrame, patient: str, seed: int, most: int = 1_000_000) -> str:
+    """Which fold each patient is in, as one JSON document; it names patients, so it belongs outside of any repository."""
+    of = {str(r[0]): r[1] for r in _few(folds.select(patient, "fold").distinct(), most)}
+    return json.dumps({"fold_of_patient": of, "kfold_seed": seed, "n_folds": len(set(of.values()))}, sort_keys=True, indent=1)
+
+
+def save_document(spark: SparkSession, text: str, path: str) -> None:
+    """One text as one file below ``path``."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_outside(spark: SparkSession, text: str, path: str, forbidden: str) -> None:
+    """``save_document``, but never below the folder ``forbidden``."""
+    plain = lambda p: os.path.abspath(p.removeprefix("file://").removeprefix("file:"))
+    if os.path.commonpath([plain(path), plain(forbidden)]) == plain(forbidden):
+        raise ValueError(f"{path} lies below {forbidden}")
+    save_document(spark, text, path)
 
 
 # -- configurations ------------------------------------------------------------------------

@@ -71,9 +71,21 @@ def test_lists_metrics_and_configs(spark, tmp_path):
     assert row.run.endswith("/run") and row.config == {"sequences": "T2", "preset": ""}
     tables.write_list(spark.createDataFrame([("b",), ("a",)], "file string"), at("out"))
     assert [r.file for r in tables.read_list(spark, at("out")).orderBy("file").collect()] == ["a", "b"]
-    tables.append_records(spark.createDataFrame([(1, float("inf"))], "k int, x double"), at("log"))
-    tables.append_records(spark.createDataFrame([(2, 0.5)], "k int, x double"), at("log"))
-    assert {(r.k, r.x) for r in spark.read.schema("k int, x string").json(at("log")).collect()} == {(1, "inf"), (2, "0.5")}
+    rows = lambda *r: spark.createDataFrame(r, "k int, x double, s struct<a:array<double>,m:map<string,double>>")
+    tables.append_records(rows((1, float("inf"), ([0.5, float("nan")], {"z": float("-inf")}))), at("log"))
+    tables.append_records(rows((2, 0.5, None), (3, None, ([], None))), at("log"))
+    found = sorted((json.loads(r.value) for r in spark.read.text(at("log")).collect()), key=lambda r: r["k"])
+    assert found == [{"k": 1, "x": "inf", "s": {"a": [0.5, "nan"], "m": {"z": "-inf"}}}, {"k": 2, "x": 0.5, "s": None}, {"k": 3, "x": None, "s": {"a": [], "m": None}}]
+
+
+def test_documents_stay_outside(spark, tmp_path):
+    folds = spark.createDataFrame([(1, 0), (2, 1)], "p int, fold int")
+    text = tables.fold_json(folds, "p", 7)
+    assert json.loads(text) == {"fold_of_patient": {"1": 0, "2": 1}, "kfold_seed": 7, "n_folds": 2}
+    tables.save_outside(spark, text, f"file://{tmp_path}/out", f"{tmp_path}/repository")
+    assert json.loads(spark.read.text(f"file://{tmp_path}/out", wholetext=True).first().value)["n_folds"] == 2
+    with pytest.raises(ValueError, match="lies below"):
+        tables.save_outside(spark, text, f"file://{tmp_path}/repository/out", f"file:{tmp_path}/repository")
 
 
 def test_layers_of_a_configuration(tmp_path, monkeypatch):
