@@ -3,7 +3,8 @@
 Values are found by pattern, validated (check digits, octets, calendar), and mapped by
 a keyed Feistel permutation of the values that have the same format. Equal values get equal
 pseudonyms in every document, different values different ones, punctuation stays, and
-the result is valid again: card numbers keep a right check digit, dates are days.
+the result is valid again: card numbers keep a right check digit, dates are days. Phone numbers have
+no check digit; they are told by their form alone.
 Where a run of digits or an IBAN with its neighbours isn't valid, its parts between separators are tried,
 the longest first. A part may be valid by chance, and a pseudonym with its neighbours too, so that
 only the values of the spans found, not all texts, are sure to come back by ``back``.

@@ -31,7 +31,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents come in; every tenth is revised (white space squeezed); every seventeenth goes; the second batch comes again."""
+    """Totals after four batches: all documents come in; every tenth is revised (white space squeezed); every seventeenth goes; the second batch comes again. The first batch is compacted into a base."""
     docs = read_table(spark, sf_dir, "documents")
     tokenizers = {"byte_bpe_50k": public_tokenizers.path(VOCABULARY), "byte_bpe_multi_50k": public_tokenizers.path(SECOND_VOCABULARY)}
     count = functools.partial(token_counts.count_tokens, tokenizers=tokenizers, pattern=public_tokenizers.PATTERN)
@@ -41,6 +41,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = F.pmod("doc_id", F.lit(17)) == 5
     rollup = token_counts.Rollup(spark, scratch_path(spark, "token-rollup"))
     rollup.commit("insert", token_counts.changes(None, counted))
+    rollup.compact()
     revision = token_counts.changes(counted.where(revised), fresh)
     rollup.commit("revise", revision)
     rollup.commit("delete", token_counts.changes(counted.where(deleted & ~revised).unionByName(fresh.where(deleted)), None))

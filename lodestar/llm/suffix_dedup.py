@@ -10,7 +10,7 @@ those whose anchor occurs in several documents:
 2. For these the groups send the text around the anchor, once for equal texts of a
    group; the later documents of the group are settled there.
 3. Each bucket sorts the suffixes to the right of its anchors, and the reversed prefixes to the
-   left, deep-shallow: multikey quicksort by eight-byte keys to a shallow depth, then a blind trie for
+   left, each as far as a window reaches, deep-shallow: multikey quicksort by eight-byte keys to a shallow depth, then a blind trie for
    each group that is still together. Common prefixes of neighbours give, for each place of
    the anchor in the window, the classes of equal windows and the least document of each.
 4. The groups cut the windows of which an earlier document has the class.
@@ -335,15 +335,32 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray, shallow: int = SHALLOW) ->
 
 
 def _multikey(order: np.ndarray, group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Multikey quicksort: rows that are equal so far are sorted by the next key, all such groups at once."""
+    """Multikey quicksort of rows that are ordered by group, all runs of equal rows at once.
+
+    A run is parted about a pivot of its own into rows with a lesser, the same and a greater key; only
+    the middle part goes on to the next key, and runs of one row are done.
+    """
+    table, order = np.stack(keys), order.copy()
     label = group[order]
-    number = np.cumsum(np.concatenate([[0], label[1:] != label[:-1]]))
-    for key in keys:
-        fresh = np.lexsort((key[order], number))
-        order, number = order[fresh], number[fresh]
-        k = key[order]
-        number = np.cumsum(np.concatenate([[0], (number[1:] != number[:-1]) | (k[1:] != k[:-1])]))
-    return order
+    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(order)))
+    depths = np.zeros(len(starts), np.int64)
+    while True:
+        go = (sizes > 1) & (depths < len(keys))
+        starts, sizes, depths = starts[go], sizes[go], depths[go]
+        if not len(starts):
+            return order
+        run = np.repeat(np.arange(len(starts)), sizes)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[run]
+        key = table[depths[run], order[at]]
+        ends = [table[depths, order[p]] for p in (starts, starts + sizes // 2, starts + sizes - 1)]
+        pivot = np.sort(np.stack(ends), axis=0)[1][run]  # the median of three
+        part = run * 3 + (key >= pivot) + (key > pivot)
+        fresh = np.argsort(part, kind="stable")
+        order[at] = order[at][fresh]
+        part = part[fresh]
+        new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sizes, starts, depths = np.diff(np.append(new, len(part))), at[new], depths[part[new] // 3] + (part[new] % 3 == 1)
 
 
 def _common(group: np.ndarray, rows: np.ndarray, order: np.ndarray) -> np.ndarray:

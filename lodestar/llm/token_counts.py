@@ -4,7 +4,8 @@ A batch of changes holds images of documents before and after: inserts have no i
 before, deletes none after, revisions both. Each batch becomes one small table of sums
 of signed counts, written in a folder of its own and then named in the commit log. A
 batch that the log names is never applied again; one that broke off before is
-written anew over its remains. Totals are the sums of all committed deltas.
+written anew over its remains. Totals are the sums of all committed deltas; ``compact`` sums them up into a base,
+after which only later batches are read.
 
 One writer at a time. Edge cases: null sources, languages and texts are groups and
 counts of their own (a null text has no tokens); a null image adds nothing; repeated
@@ -33,6 +34,7 @@ _BITS = 40
 
 KEYS = ("source", "lang", "tokenizer")
 _LOG = "batch_id string"
+_BASE = "version bigint"
 _DELTA = "source string, lang string, tokenizer string, docs bigint, tokens bigint, bytes bigint"
 
 
@@ -100,7 +102,7 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         # an empty first file each, so that the folders can be read before any commit
-        for part, schema in (("log", _LOG), ("delta/batch_id=@start", _DELTA)):
+        for part, schema in (("log", _LOG), ("delta/batch_id=@start", _DELTA), ("bases", _BASE)):
             spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{part}")
 
     def committed(self) -> DataFrame:
@@ -117,8 +119,33 @@ class Rollup:
         self.spark.createDataFrame([(batch_id,)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return True
 
+    def _base(self) -> str | None:
+        """Folder of the base that was committed last."""
+        last = self.spark.read.schema(_BASE).parquet(f"{self.path}/bases").agg(F.max("version").alias("v")).first()["v"]
+        return None if last is None else f"{self.path}/base/{last}"
+
+    def _sums(self) -> tuple[DataFrame, DataFrame]:
+        """Sums of all committed batches, and their ids."""
+        deltas, ids = self.spark.read.schema(f"{_DELTA}, batch_id string").parquet(f"{self.path}/delta"), self.committed()
+        base, rest = self._base(), ids
+        if base is not None:
+            rest = ids.join(self.spark.read.schema(_LOG).parquet(f"{base}/batches"), "batch_id", "left_anti")
+        rows = deltas.join(rest, "batch_id", "left_semi").select(*KEYS, "docs", "tokens", "bytes")
+        if base is not None:
+            rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(f"{base}/sums"))
+        sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "bytes")))
+        return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0) | (F.col("bytes") != 0)), ids
+
+    def compact(self) -> int:
+        """Sum up all committed batches into a new base, and give its version. One that breaks off before its last step isn't seen."""
+        last = self.spark.read.schema(_BASE).parquet(f"{self.path}/bases").agg(F.max("version").alias("v")).first()["v"]
+        version = (last or 0) + 1
+        sums, ids = self._sums()
+        sums.write.mode("overwrite").parquet(f"{self.path}/base/{version}/sums")
+        ids.write.mode("overwrite").parquet(f"{self.path}/base/{version}/batches")
+        self.spark.createDataFrame([(version,)], _BASE).coalesce(1).write.mode("append").parquet(f"{self.path}/bases")
+        return version
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens, bytes) after all committed batches."""
-        deltas = self.spark.read.schema(f"{_DELTA}, batch_id string").parquet(f"{self.path}/delta")
-        sums = deltas.join(self.committed(), "batch_id", "left_semi").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "bytes")))
-        return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0) | (F.col("bytes") != 0))
+        return self._sums()[0]

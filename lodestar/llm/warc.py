@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, scratch_path
+from lodestar.llm.common import map_rows, materialise, scratch_path
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 1000
@@ -158,23 +158,19 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
 def with_originals(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Pages (page_id, url, html) with ``digest`` and, for revisits, the response's ``of_id`` and ``of_url``.
 
-    Only digests, keys and URLs are shuffled, summed up before; payloads stay where they
-    are read. A frequent payload is one row of the table that is joined.
+    Which pages are revisits is found over digests and keys alone; a frequent payload is one row of a written table, so that Spark can split the rows that
+    meet it. Payloads are joined by their own key and digest, which aren't frequent; they move only where the table of revisits is too large to be broadcast.
     """
     # the digest of text is that of its UTF-8 bytes
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    large = F.octet_length("html") >= min_bytes
-    groups = (
-        rows.where(large & F.col("page_id").isNotNull())
-        .groupBy(F.col("digest").alias("of_digest"))
-        .agg(F.max(F.struct("page_id", "url")).alias("of"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("of_digest", F.col("of.page_id").alias("of_id"), F.col("of.url").alias("of_url"))
-    )
-    joined = rows.join(groups, large & (F.col("digest") == F.col("of_digest")), "left")
-    revisit = F.col("page_id") < F.col("of_id")
-    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("of_id")).alias("of_id"), F.when(revisit, F.col("of_url")).alias("of_url"))
+    large = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
+    groups = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("of"), F.min("page_id").alias("low")).where(F.col("low") < F.col("of.page_id"))
+    groups = materialise(groups.select(F.col("digest").alias("of_digest"), F.col("of.page_id").alias("of_id"), F.col("of.url").alias("of_url")), "warc-groups")
+    late = large.select("page_id", "digest").join(groups, F.col("digest") == F.col("of_digest")).where(F.col("page_id") < F.col("of_id"))
+    late = materialise(late.select(F.col("page_id").alias("late_id"), "of_digest", "of_id", "of_url").distinct(), "warc-revisits")
+    joined = rows.join(late, (F.col("page_id") == F.col("late_id")) & (F.col("digest") == F.col("of_digest")), "left")
+    return joined.select("page_id", "url", "html", "digest", "of_id", "of_url")
 
 
 def convert_pages(pages: DataFrame, date: str = "20260101000000", min_bytes: int = MIN_REVISIT) -> DataFrame:
