@@ -35,7 +35,7 @@ ROTATIONS = 2
 ITERATIONS = 25
 COVER = 0.985
 #: Vectors and queries that meet in one task.
-BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2_048
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 16_384
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
