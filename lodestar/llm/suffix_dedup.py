@@ -15,7 +15,8 @@ those whose anchor occurs in several documents:
    the anchor in the window, the classes of equal windows and the least document of each.
 4. The groups cut the windows of which an earlier document has the class.
 
-Documents are shuffled once, by group. A document equal to an earlier one is settled
+Of an anchor that many groups have, the windows are sent one by one, to buckets by their bytes and a salt of the group. There they are judged in the same way,
+and one of each class goes on to the bucket of its bytes, so that no bucket gets a row from each group. A document equal to an earlier one is settled
 before, so a text that fills a third of the table takes part once.
 
 Edge cases: null and empty texts have no bytes and lose none; texts of fewer than LENGTH
@@ -42,6 +43,8 @@ ANCHOR = 24
 GROUP_BYTES = 3_000_000
 #: Longer texts are scanned in overlapping pieces.
 PIECE_BYTES = 4_000_000
+#: Groups that may have an anchor before its windows are dealt out one by one, and salts of these.
+HOT_GROUPS, SALTS = 2_000, 1_000
 #: Depth to which multikey quicksort goes.
 SHALLOW = 16
 _PLACES = LENGTH - ANCHOR + 1  # of the anchor in a window
@@ -190,12 +193,15 @@ def _answer(table: pa.Table) -> pa.Table:
     want[1:] |= same
     want[:-1] |= same
     chosen = order[want]
-    out_gid, out_h = [], []
+    run = np.cumsum(np.concatenate([[True], ~same])) - 1
+    hot = (np.bincount(run)[run] > HOT_GROUPS)[want]
+    out_gid, out_h, out_hot = [], [], []
     for o, at in _by(owner[chosen]):
         out_gid.append(int(gids[o]))
         out_h.append(_blob(h[chosen[at]]))
+        out_hot.append(_blob(hot[at].astype(np.uint8)))
     none = [b""] * len(out_gid)
-    return pa.table([pa.array(out_gid, pa.int64()), pa.array(["anchor"] * len(out_gid), pa.string()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(out_h, pa.binary()), pa.array(none, pa.binary())], schema=_SIDE)
+    return pa.table([pa.array(out_gid, pa.int64()), pa.array(["anchor"] * len(out_gid), pa.string()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(out_h, pa.binary()), pa.array(out_hot, pa.binary())], schema=_SIDE)
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -213,48 +219,65 @@ def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[new], tag[new], start[new], far[last] - shift[last]
 
 
+_SENT = ("bucket", "level", "gid", "docs", "tags", "a", "b", "h", "left", "size", "text")
+_SENT_DDL = "bucket bigint, level int, gid bigint, docs binary, tags binary, a binary, b binary, h binary, left binary, size binary, text binary"
+_SENT_SCHEMA = pa.schema([(n, pa.int64() if n in ("bucket", "gid") else pa.int32() if n == "level" else pa.binary()) for n in _SENT])
+#: Levels of rows: judged at once; windows of a salt, of which some go on; windows of all salts; places to cut.
+_PLAIN, _SALTED, _LAST, _SPANS = 0, 1, 2, 3
+
+
+def _content_hash(window: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(window, digest_size=7).digest(), "little")
+
+
+def _rows(level: int, gid: int, found: list[tuple], bucket_of) -> Iterator[tuple]:
+    """Rows of contexts (h, left, text, place, doc, tag), a row for each bucket."""
+    for b, at in _by(np.array([bucket_of(x) for x in found], np.int64)):
+        part = [found[i] for i in at.tolist()]
+        numbers = (_blob(np.array([x[k] for x in part], np.int64)) for k in (4, 5, 3))
+        yield (b, level, gid, *numbers, b"", _blob(np.array([x[0] for x in part], np.uint64)), bytes(x[1] for x in part), bytes(len(x[2]) - LENGTH + 1 for x in part), b"".join(x[2] for x in part))
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT_SCHEMA)], schema=_SENT_SCHEMA)
+
+
 def _send_texts(buckets: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         texts, skip = _Texts(docs), _settled(side)
-        lists = [np.frombuffer(x, np.uint64) for k, x in zip(side.column("kind").to_pylist(), side.column("a").to_pylist(), strict=True) if k == "anchor"]
-        rows: dict[str, list] = {n: [] for n in ("bucket", "gid", "docs", "tags", "a", "b", "h", "left", "size", "text")}
-
-        def add(bucket, d, t, a, b, h=b"", left=b"", size=b"", text=b""):
-            for n, x in zip(rows, (bucket, gid, d, t, a, b, h, left, size, text), strict=True):
-                rows[n].append(x)
-
-        if lists and docs.num_rows:
+        lists = [[np.frombuffer(x, kind) for k, x in zip(side.column("kind").to_pylist(), side.column(c).to_pylist(), strict=True) if k == "anchor"] for c, kind in (("a", np.uint64), ("b", np.uint8))]
+        rows: list[tuple] = []
+        if lists[0] and docs.num_rows:
             gid = docs.column("gid")[0].as_py()
-            wanted = np.sort(np.concatenate(lists))
+            wanted, hot = (np.concatenate(x) for x in lists)
+            order = np.argsort(wanted)
+            wanted, hot = wanted[order], hot[order]
             own: dict[bytes, int] = {}
             found: list = []
             for buf, starts, ends, doc, off in texts.pieces(skip):
                 h, p, first, last, which = anchors(buf, starts, ends)
-                at = np.searchsorted(wanted, h)
-                hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == h)
-                h, p, first, last, which = (x[hit] for x in (h, p, first, last, which))
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[at] == h)
+                h, p, first, last, which, at = (x[hit] for x in (h, p, first, last, which, at))
                 where = first - starts[which] + off[which]
                 ids, tags = texts.ids[doc[which]], texts.tags[doc[which]]
                 raw = buf.tobytes()
-                for x in zip(h.tolist(), (p - first).tolist(), first.tolist(), (last + LENGTH).tolist(), where.tolist(), ids.tolist(), tags.tolist(), strict=True):
+                for x in zip(h.tolist(), (p - first).tolist(), first.tolist(), (last + LENGTH).tolist(), where.tolist(), ids.tolist(), tags.tolist(), hot[at].tolist(), strict=True):
                     content = raw[x[2] : x[3]]
                     key = bytes((x[1],)) + content
                     least = own.get(key)
                     if least is None or x[5] < least:
                         own[key] = x[5]
-                    found.append((x[0], x[1], content, key, x[4], x[5], x[6]))
+                    found.append(((x[0], x[1], content, x[4], x[5], x[6]), key, x[7]))
             # all windows of a text that an earlier document of the group has go
-            gone = [(i, t, w, w + len(c)) for _, _, c, k, w, i, t in found if own[k] < i]
+            gone = [(x[4], x[5], x[3], x[3] + len(x[2])) for x, key, _ in found if own[key] < x[4]]
             if gone:
-                d, t, a, b = _spans(*(np.array(x, np.int64) for x in zip(*gone, strict=True)))
-                add(gid % buckets, _blob(d), _blob(t), _blob(a), _blob(b))
-            rest = [x for x in found if own[x[3]] == x[5]]
-            if rest:
-                h = np.array([x[0] for x in rest], np.uint64)
-                for b, at in _by((h % _U(buckets)).astype(np.int64)):
-                    part = [rest[i] for i in at.tolist()]
-                    add(b, *(_blob(np.array([x[k] for x in part], np.int64)) for k in (5, 6, 4)), b"", _blob(h[at]), bytes(x[1] for x in part), bytes(len(x[2]) - LENGTH + 1 for x in part), b"".join(x[2] for x in part))
-        return pa.table({n: pa.array(x, pa.int64() if n in ("bucket", "gid") else pa.binary()) for n, x in rows.items()})
+                rows.append((gid % buckets, _SPANS, gid, *map(_blob, _spans(*(np.array(x, np.int64) for x in zip(*gone, strict=True)))), b"", b"", b"", b""))
+            rest = [(x, is_hot) for x, key, is_hot in found if own[key] == x[4]]
+            rows += _rows(_PLAIN, gid, [x for x, is_hot in rest if not is_hot], lambda x: x[0] % buckets)
+            windows = [(h, left - j, text[j : j + LENGTH], place + j, d, t) for (h, left, text, place, d, t), is_hot in rest if is_hot for j in range(len(text) - LENGTH + 1)]
+            rows += _rows(_SALTED, gid, windows, lambda x: (_content_hash(x[2]) + gid % SALTS * 0x9E3779B1) % buckets)
+        return _table(rows)
 
     return run
 
@@ -411,31 +434,39 @@ def _matches(h, doc, left, size, text) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_row), np.concatenate(out_at)) if out_row else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _judge(groups: int):
+def _judge(buckets: int):
+    """Of one bucket and level: places to cut, and of salted windows those that go on."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        cols = {n: table.column(n).to_pylist() for n in ("gid", "docs", "tags", "a", "b", "h", "left", "size", "text")}
-        sent = []
-        for i, gid in enumerate(cols["gid"]):
-            if cols["h"][i]:
-                sent.append(i)
-            else:
-                rows.append((gid, "span", cols["docs"][i], cols["tags"][i], cols["a"][i], cols["b"][i]))
-        if sent:
-            join = lambda n, kind: np.frombuffer(b"".join(cols[n][i] for i in sent), kind)
-            h, doc, tag, where = join("h", np.uint64), join("docs", np.int64), join("tags", np.int64), join("a", np.int64)
-            left, size = join("left", np.uint8).astype(np.int64), join("size", np.uint8).astype(np.int64)
-            gid = np.repeat([cols["gid"][i] for i in sent], [len(cols["left"][i]) for i in sent])
-            row, at = _matches(h, doc, left, size, b"".join(cols["text"][i] for i in sent))
-            start = where[row] + at
-            for g, part in _by(gid[row]):
-                r = row[part]
-                rows.append((g, "span", *map(_blob, _spans(doc[r], tag[r], start[part], start[part] + LENGTH))))
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SIDE)], schema=_SIDE)
+        level, rows = table.column("level")[0].as_py(), []
+        if level == _SPANS:
+            return table.select(_SENT)
+        cols = {n: table.column(n).to_pylist() for n in _SENT if n not in ("bucket", "level")}
+        join = lambda n, kind: np.frombuffer(b"".join(cols[n]), kind)
+        h, doc, tag, where = join("h", np.uint64), join("docs", np.int64), join("tags", np.int64), join("a", np.int64)
+        left, size, text = join("left", np.uint8).astype(np.int64), join("size", np.uint8).astype(np.int64), b"".join(cols["text"])
+        gid = np.repeat(cols["gid"], [len(x) for x in cols["left"]])
+        row, at = _matches(h, doc, left, size, text)
+        start = where[row] + at
+        for g, part in _by(gid[row]):
+            r = row[part]
+            rows.append((g % buckets, _SPANS, g, *map(_blob, _spans(doc[r], tag[r], start[part], start[part] + LENGTH)), b"", b"", b"", b""))
+        if level == _SALTED:
+            stays = np.ones(len(h), bool)
+            stays[row] = False
+            for g, part in _by(np.where(stays, gid, -1)):
+                if g >= 0:
+                    found = [(int(h[i]), int(left[i]), text[i * LENGTH : (i + 1) * LENGTH], int(where[i]), int(doc[i]), int(tag[i])) for i in part.tolist()]
+                    rows += _rows(_LAST, g, found, lambda x: _content_hash(x[2]) % buckets)
+        return _table(rows)
 
     return run
 
 
+def _as_side(df: DataFrame) -> DataFrame:
+    return df.where(F.col("level") == _SPANS).select("gid", F.lit("span").alias("kind"), "docs", "tags", "a", "b")
+
+
 def _cut(docs: pa.Table, side: pa.Table) -> pa.Table:
     texts, skip = _Texts(docs), _settled(side)
     parts = [[np.frombuffer(side.column(c)[i].as_buffer(), np.int64) for c in ("docs", "tags", "a", "b")] for i, k in enumerate(side.column("kind").to_pylist()) if k == "span"]
@@ -480,8 +511,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     sent = both(equal).applyInArrow(_send_hashes(groups), "bucket bigint, gid bigint, h binary, several binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, _RIGHT)
-    texts = both(equal.unionByName(answers)).applyInArrow(_send_texts(groups), "bucket bigint, gid bigint, docs binary, tags binary, a binary, b binary, h binary, left binary, size binary, text binary")
-    spans = texts.groupBy("bucket").applyInArrow(_judge(groups), _RIGHT)
+    texts = both(equal.unionByName(answers)).applyInArrow(_send_texts(groups), _SENT_DDL)
+    # what a group has settled is passed by; each bucket's other rows are judged, once more where they come from salts
+    judge = lambda df: df.groupBy("bucket", "level").applyInArrow(_judge(groups), _SENT_DDL)
+    found = materialise(judge(texts), "repeats-found")
+    last = judge(found.where(F.col("level") == _LAST))
+    spans = _as_side(found).unionByName(_as_side(last))
     out = both(equal.unionByName(spans)).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
     rest = own.where("doc_id is null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     return out.unionByName(rest)

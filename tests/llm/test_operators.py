@@ -230,7 +230,10 @@ def removed(docs):
     return sorted(out)
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize(("hot", "salts"), [(suffix_dedup.HOT_GROUPS, suffix_dedup.SALTS), (1, 2)])
+def test_repeats_against_brute_force(spark, monkeypatch, hot, salts):
+    monkeypatch.setattr(suffix_dedup, "HOT_GROUPS", hot)
+    monkeypatch.setattr(suffix_dedup, "SALTS", salts)
     rng = random.Random(5)
     pool = ["".join(rng.choice("ab é") for _ in range(rng.randint(10, 200))) for _ in range(8)]
     docs = [(d * 3 % 61, "".join(rng.choice(pool)[rng.randint(0, 9) : rng.randint(10, 200)] for _ in range(rng.randint(0, 6)))) for d in range(60)]
