@@ -364,6 +364,19 @@ def new_files_only(spark, sf_dir):
     return missing_from(pages, written(pages.where(F.col("page_id") % 3 == 0), "done"), "page_id")
 
 
+@query("SELECT page_id, page_id % 4 AS part FROM pages WHERE page_id % 4 < 3")
+def incremental_run(spark, sf_dir):
+    """Three runs over a folder that grows between them; each file is processed once."""
+    from lodestar.streaming.incremental import process_new
+
+    base = shared_path(spark, "incremental")
+    pages = read(spark, sf_dir, "pages").select("page_id")
+    for part in range(3):
+        pages.where(F.col("page_id") % 4 == part).write.mode("append").parquet(f"{base}/in")
+        process_new(spark, f"{base}/in", "page_id bigint", lambda df: df.withColumn("part", F.col("page_id") % 4), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema("page_id bigint, part bigint").parquet(f"{base}/out")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 1 THEN 'T2' ELSE 'T2_SPACE' END AS sequence FROM part WHERE p_size % 4 IN (1, 2)")
 def sequence_filter(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("a_t1", "b_t2", "c_T2_SPACE", "d_other"))), F.col("p_size") % 4 + 1)
