@@ -209,8 +209,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> list:
         a_out, b_out, last, x, wx = [], [], None, None, None
         for a, b, sa, wa, sb, wb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in range(2, 6)), strict=True):
-            if a != last or len(sa.as_buffer()) != 8 * len(x):
-                last, x = a, np.frombuffer(sa.as_buffer(), np.uint64)
+            own = (sa.as_buffer(), wa.as_buffer())
+            if last is None or not all(map(pa.Buffer.equals, own, last)):  # an id may have several texts
+                last, x = own, np.frombuffer(own[0], np.uint64)
                 wx = _weights(wa.as_py(), len(x))
             y = np.frombuffer(sb.as_buffer(), np.uint64)
             if len(x) and len(y) and _alike(x, wx, [y], [_weights(wb.as_py(), len(y))])[0]:

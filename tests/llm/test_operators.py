@@ -407,7 +407,7 @@ def test_minhash_classes_equal_exact_components(spark, monkeypatch, small, block
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         docs.append((d + 10, " ".join(w)))
-    docs += [(400 + k, " ".join(base[5][:30] * k)) for k in range(1, 8)] + [(5, docs[0][1]), (5, docs[1][1]), *ODD]
+    docs += [(400 + k, " ".join(base[5][:30] * k)) for k in range(1, 8)] + [(5, docs[0][1]), (5, docs[1][1]), (6, "one two three four five six"), (6, docs[2][1] + " end"), (6, "six five four three two one"), *ODD]
     least = near_classes(docs)
     assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, docs)).collect()} == least
     kept = {r.doc_id for r in minhash.keep_one(frame(spark, docs)).collect()}
