@@ -90,6 +90,17 @@ ORACLE: dict[str, str] = {
                CASE WHEN p.page_id < g.last THEN g.last END AS refers_to
         FROM p LEFT JOIN g ON p.html = g.html
     """,
+    # all pairs that share a shingle, and what they connect; bands miss a pair with probability 3e-6
+    "op9_minhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        c AS (SELECT doc_id, g, count(*) AS k FROM s GROUP BY ALL),
+        n AS (SELECT doc_id, sum(k) AS n FROM c GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.k, y.k)) AS same FROM c x JOIN c y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n u ON a = u.doc_id JOIN n v ON b = v.doc_id WHERE same >= 0.8::DOUBLE * (u.n + v.n - same) - 1e-9::DOUBLE),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a
+    """,
     "op8_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
