@@ -500,7 +500,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # groups of a bounded size; a longer text is a group's one
     known = own.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("gid"), "doc_id", F.xxhash64("text").alias("tag"), "text")
     digests = own.where("doc_id is not null").where(F.octet_length("text") >= LENGTH).select("doc_id", F.xxhash64("text").alias("tag"), F.xxhash64(F.lit(7), "text").alias("tag2"))
-    first = digests.groupBy("tag", "tag2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("tag").alias("t1"), F.col("tag2").alias("t2"), "least")
+    # written, so that Spark can split the copies of a frequent text in the join below
+    first = digests.groupBy("tag", "tag2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    first = materialise(first.select(F.col("tag").alias("t1"), F.col("tag2").alias("t2"), "least"), "repeats-first")
     equal = digests.join(first, (F.col("tag") == F.col("t1")) & (F.col("tag2") == F.col("t2"))).where(F.col("doc_id") > F.col("least"))
     packed = F.array_join(F.transform(F.collect_list(F.struct("doc_id", "tag")), lambda x: F.concat(_big_endian(x["doc_id"]), _big_endian(x["tag"]))), "")
     equal = equal.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("gid")).agg(packed.alias("hex"))
