@@ -100,7 +100,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str) -
 
     A batch is cut to ``BATCH_ROWS`` rows, which bounds the memory of one call.
     """
-    types = _arrow_types(df.sparkSession, schema)
+    types = arrow_types(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str) -
     return df.mapInArrow(run, schema)
 
 
-def _arrow_types(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_types(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

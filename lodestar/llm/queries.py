@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, decontam, line_dedup, minhash, pii, quality, suffix_dedup, token_counts, warc
+from lodestar.llm import ann, bpe, decontam, line_dedup, merkle, minhash, pii, quality, suffix_dedup, token_counts, warc
 from lodestar.llm.common import materialise, read_table, scratch_path
 
 #: Secret of the pseudonyms; a user passes their own to ``pii``.
@@ -74,8 +74,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_pii, op4_token_counts, op5_suffix_dedup, op6_quality, op7_nearest, op8_decontaminate, op9_minhash, op10_warc)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_pii, op4_token_counts, op5_suffix_dedup, op6_quality, op7_nearest, op8_decontaminate, op9_minhash, op10_warc, op11_merkle)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -101,6 +105,35 @@ ORACLE: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a
     """,
+    # levels by recursion, siblings by place, crc32 bit by bit; each row's proof is folded level by level
+    "op11_merkle": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS grp, CAST(doc_id AS VARCHAR) AS id, text,
+                   concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                          CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END) AS front
+            FROM documents),
+        t AS (SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(id) + 1), lambda i: [ord(id[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                    lambda a, x: xor(xor(a, x) >> 1, 3988292384::BIGINT * (xor(a, x) & 1))), 4294967295::BIGINT) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM d),
+        l AS (SELECT doc_id, grp, sha256(front || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+                     sha256(front || CASE WHEN text IS NULL THEN '-' ELSE strlen(other) || ':' || other END) AS tampered FROM t),
+        p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM l),
+        up AS (SELECT grp, 0 AS lvl, idx, leaf AS h, n FROM p
+               UNION ALL SELECT grp, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY grp, lvl, idx // 3, n),
+        r AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (SELECT 0 AS lvl, idx, subroot AS h, n FROM r UNION ALL SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, idx // 3, n),
+        q AS (SELECT p.*, r.subroot, r.idx AS top_idx, (SELECT h FROM top WHERE n = 1) AS root FROM p JOIN r ON p.grp = r.grp),
+        steps AS (
+            SELECT q.grp, q.idx AS leaf_idx, up.lvl, coalesce(string_agg(up.h, '' ORDER BY up.idx) FILTER (up.idx < q.idx // CAST(3 ** up.lvl AS BIGINT)), '') AS a, coalesce(string_agg(up.h, '' ORDER BY up.idx) FILTER (up.idx > q.idx // CAST(3 ** up.lvl AS BIGINT)), '') AS b
+            FROM q JOIN up ON q.grp = up.grp AND up.n > 1 AND up.idx // 3 = q.idx // CAST(3 ** (up.lvl + 1) AS BIGINT) GROUP BY ALL
+            UNION ALL
+            SELECT q.grp, q.idx, 100 + top.lvl, coalesce(string_agg(top.h, '' ORDER BY top.idx) FILTER (top.idx < q.top_idx // CAST(3 ** top.lvl AS BIGINT)), ''), coalesce(string_agg(top.h, '' ORDER BY top.idx) FILTER (top.idx > q.top_idx // CAST(3 ** top.lvl AS BIGINT)), '')
+            FROM q JOIN top ON top.n > 1 AND top.idx // 3 = q.top_idx // CAST(3 ** (top.lvl + 1) AS BIGINT) GROUP BY ALL),
+        way AS (SELECT grp, leaf_idx, list({'a': a, 'b': b} ORDER BY lvl) AS w FROM steps GROUP BY ALL),
+        f AS (SELECT q.*, coalesce(w, []) AS w, tampered AS h, 0 AS step FROM q LEFT JOIN way ON q.grp = way.grp AND q.idx = way.leaf_idx
+              UNION ALL SELECT * REPLACE (sha256(w[step + 1].a || h || w[step + 1].b) AS h, step + 1 AS step) FROM f WHERE step < len(w))
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(w, lambda x: x.a || x.b), 'string_agg', ''), '')) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM f WHERE step = len(w)
+    """,
     "op8_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
