@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, decontam, line_dedup, merkle, minhash, pii, quality, suffix_dedup, token_counts, warc
+from lodestar.llm import ann, bpe, decontam, line_dedup, merkle, minhash, pii, quality, secrets, suffix_dedup, token_counts, warc
 from lodestar.llm.common import materialise, read_table, scratch_path
 
 #: Secret of the pseudonyms; a user passes their own to ``pii``.
@@ -78,8 +78,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_pii, op4_token_counts, op5_suffix_dedup, op6_quality, op7_nearest, op8_decontaminate, op9_minhash, op10_warc, op11_merkle)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_pii, op4_token_counts, op5_suffix_dedup, op6_quality, op7_nearest, op8_decontaminate, op9_minhash, op10_warc, op11_merkle, op12_secrets)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
