@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, decontam, line_dedup, merkle, minhash, pii, quality, secrets, suffix_dedup, token_counts, warc
+from lodestar.llm import ann, bpe, decontam, line_dedup, merkle, minhash, phrases, pii, quality, secrets, suffix_dedup, token_counts, warc
 from lodestar.llm.common import materialise, read_table, scratch_path
 
 #: Secret of the pseudonyms; a user passes their own to ``pii``.
@@ -82,8 +82,12 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_pii, op4_token_counts, op5_suffix_dedup, op6_quality, op7_nearest, op8_decontaminate, op9_minhash, op10_warc, op11_merkle, op12_secrets)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_pii, op4_token_counts, op5_suffix_dedup, op6_quality, op7_nearest, op8_decontaminate, op9_minhash, op10_warc, op11_merkle, op12_secrets, op13_phrases)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -138,6 +142,23 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(w, lambda x: x.a || x.b), 'string_agg', ''), '')) AS proof_sha256, h AS folded_root, h = root AS verified
         FROM f WHERE step = len(w)
     """,
+    # every phrase of up to four words, counted at all its places
+    "op13_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, w[i:i + m - 1] AS ws, count(*) AS f FROM (SELECT lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS m FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)) GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE len(ws) = 1 GROUP BY lang),
+        c AS (SELECT lang, ws, f AS a FROM g WHERE len(ws) > 1 AND f >= 30),
+        k AS (SELECT c.lang, c.ws, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+              FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM c) c JOIN g l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN g r ON r.lang = c.lang AND r.ws = c.ws[k + 1:]),
+        s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+        inner_parts AS (SELECT DISTINCT lang, a AS longer, ws[i:i + m - 1] AS ws
+                  FROM (SELECT lang, ws, a, m, unnest(range(1, len(ws) - m + 2)) AS i FROM (SELECT lang, ws, a, unnest(range(2, len(ws))) AS m FROM c WHERE len(ws) > 2))),
+        gone AS (SELECT DISTINCT s.lang, s.ws FROM s JOIN inner_parts i ON i.lang = s.lang AND i.ws = s.ws WHERE 100 * i.longer >= 80 * s.a),
+        t AS (SELECT s.lang, array_to_string(s.ws, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM s WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = s.lang AND gone.ws = s.ws)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+        SELECT o.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score FROM o JOIN n ON o.lang = n.lang WHERE rank <= 2000
+    """,
     "op8_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
