@@ -3,8 +3,8 @@
 A shard is a block of texts. Its trie has a level for each number of words up to ``DEPTH``; a node is (parent, word) with the
 times its phrase occurs. Words are numbered in byte order, so each level is made by one sort of (parent, word) and comes out in the order of its
 phrases. A trie is serialised in that order, cut at the borders of prefix ranges: for each range a row of the phrases and counts that begin
-there. A range merges the sorted rows of all shards, as many as there are, and adds up equal phrases; as a
-phrase follows its prefixes, the merge walks down the trie and hands the counts of all left parts on. Right parts come by suffix
+there. A range merges the sorted rows of all shards, as many as there are, and adds up equal phrases; from the root of the merged
+trie it walks down to each phrase and hands the counts of all left parts on. Right parts come by suffix
 links: the link of a phrase drops its first word, so its right parts are what it links to and the right parts of that.
 
 Rare phrases never need to move. A phrase occurs as often as its rarest part at most, so three rounds count words, then pairs of
@@ -20,7 +20,6 @@ table, or one without frequent phrases, gives an empty result; further columns a
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import math
 import operator
@@ -42,7 +41,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 #: Percent of a phrase's occurrences that lie in a longer phrase, from which it is dropped.
 ABSORBED = 80
 #: Bytes of text of one shard.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 12_000_000
 #: Bits of the filters of frequent words and pairs.
 FILTER_BITS = 1 << 27
 _SEGMENT = 1 << 16
@@ -221,14 +220,15 @@ def _blocks(trie: Trie, levels: list[int], lang: str, cuts: list[tuple[bytes, by
             borders.append(i * (n + 1) + (bisect_left(trie.words, second) + 1 if second else 0))
     for level in levels:
         phrases, pairs, counts = trie.phrases(level)
+        live = np.flatnonzero(counts)
+        if len(live) < len(counts):
+            phrases, pairs, counts = phrases.take(pa.array(live)), pairs[live], counts[live]
+        lines = pc.binary_join_element_wise(phrases, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+        at, raw, counts = np.frombuffer(lines.buffers()[1], np.int64), memoryview(lines.buffers()[2] or b""), counts.astype("<i8")
         ends = [0, *np.searchsorted(pairs, np.array(borders, np.int64)).tolist(), len(pairs)]
         for bucket, (low, high) in enumerate(itertools.pairwise(ends)):
-            some = counts[low:high]
-            live = np.flatnonzero(some)
-            if len(live):
-                part = phrases.slice(low, high - low)
-                part = part if len(live) == len(some) else part.take(pa.array(live))
-                yield bucket, lang, 0, b"\n".join(part.to_pylist()), some[live].astype("<i8").tobytes()
+            if low < high:
+                yield bucket, lang, 0, bytes(raw[at[low] : at[high] - 1]), counts[low:high].tobytes()
     yield len(cuts) + 1, lang, total, b"", b""
 
 
@@ -258,25 +258,27 @@ def _shards(docs: DataFrame, levels: list[int], cuts: Broadcast, keep: tuple[str
     return docs.select("lang", "text").mapInArrow(run, _BLOCK)
 
 
-def _entries(phrases: bytes, counts: bytes) -> Iterator[tuple[list[bytes], int]]:
-    """(words, count) of a serialised row; compared word by word, as they were sorted."""
-    return zip((p.split(b" ") for p in phrases.split(b"\n")), np.frombuffer(counts, "<i8").tolist(), strict=True)
-
-
 def _merge(table: pa.Table) -> pa.Table:
-    """Sums of the phrases of one range that are frequent, with the counts of their left parts of two words and more."""
-    out: list[tuple] = []
+    """Sums of the phrases of one range that are frequent, with the counts of their left parts of two words and more.
+
+    The sort is one that finds runs which are in order and merges them, so each row, sorted by its shard, is read once for each doubling.
+    """
     lang = table.column("lang")[0].as_py()
-    rows = [_entries(p, c) for p, c in zip(table.column("phrases").to_pylist(), table.column("counts").to_pylist(), strict=True)]
-    path: list[tuple[list[bytes], int]] = []  # the way from the root
-    for words, same in itertools.groupby(heapq.merge(*rows), key=operator.itemgetter(0)):
-        n = sum(c for _, c in same)
-        if n < LEAST:
-            continue
-        while path and words[: len(path[-1][0])] != path[-1][0]:
-            path.pop()
-        path.append((words, n))
-        out.append((lang, len(words), b" ".join(words).decode(), n, [c for w, c in path[:-1] if len(w) > 1]))
+    entries: list[bytes] = []
+    for p in table.column("phrases"):
+        entries += p.as_py().split(b"\n")
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8")
+    order = sorted(range(len(entries)), key=entries.__getitem__)
+    entries = [entries[i] for i in order]
+    fresh = np.fromiter(map(operator.ne, entries, [None, *entries[:-1]]), bool, len(entries))
+    first = np.flatnonzero(fresh)
+    sums = np.add.reduceat(counts[order], first)
+    frequent = sums >= LEAST
+    nodes = dict(zip([entries[i] for i in first[frequent]], sums[frequent].tolist(), strict=True))
+    out = []
+    for phrase, n in nodes.items():
+        words = phrase.split(b" ")
+        out.append((lang, len(words), phrase.decode(), n, [nodes[b" ".join(words[:k])] for k in range(2, len(words))]))  # down the trie
     types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()))
     columns = list(zip(*out, strict=True)) or [[]] * len(types)
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "m", "phrase", "f", "lefts"])
