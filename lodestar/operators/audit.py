@@ -27,9 +27,13 @@ def cohort_fingerprint(names: DataFrame, group: str, key: str) -> DataFrame:
     return names.groupBy(group).agg(F.count("*").alias("n"), fingerprint(F.array_sort(F.collect_list(F.col(key).cast("string")))).alias("sha256"))
 
 
-def manifest_diff(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Rows of either manifest that the other lacks; none if they are equal row by row, places included."""
-    return ours.exceptAll(theirs).withColumn("side", F.lit("ours")).unionByName(theirs.exceptAll(ours).withColumn("side", F.lit("theirs")))
+def manifest_diff(ours: DataFrame, theirs: DataFrame, ordered: bool = True) -> DataFrame:
+    """Rows of either manifest that the other lacks, with their ``side``. ``ordered``: both have to have ``position``, and a row counts as equal only at its place; else as often as it occurs anywhere."""
+    if ordered and not ("position" in ours.columns and "position" in theirs.columns):
+        raise ValueError("manifests are compared in order by their column position")
+    columns = [c for c in ours.columns if ordered or c != "position"]
+    a, b = ours.select(*columns), theirs.select(*columns)
+    return a.exceptAll(b).withColumn("side", F.lit("ours")).unionByName(b.exceptAll(a).withColumn("side", F.lit("theirs")))
 
 
 def require_pairs(wanted: DataFrame, images: DataFrame, masks: DataFrame, key: str) -> DataFrame:

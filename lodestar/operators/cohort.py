@@ -28,6 +28,15 @@ def parse_filter_config(text: str) -> FilterConfig:
     return FilterConfig(parts[0], int(parts[1]), float(parts[2]), cap if cap > 0 else None)
 
 
+def parse_filter_configs(texts: DataFrame, text: str) -> DataFrame:
+    """``parse_filter_config`` of a column: (name, min_classes, threshold, cap); one that doesn't fit fails the job."""
+    parts = F.split(text, ":")
+    wrong = (F.size(parts) != 4) | (parts[0] == "") | F.col(text).isNull()
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("a filter is name:classes:threshold:cap, not "), F.coalesce(text, F.lit("null")))).cast("string")).otherwise(parts[0])
+    cap = F.get(parts, F.lit(3)).cast("int")
+    return texts.select(checked.alias("name"), F.get(parts, F.lit(1)).cast("int").alias("min_classes"), F.get(parts, F.lit(2)).cast("double").alias("threshold"), F.when(cap > 0, cap).alias("cap"))
+
+
 def class_stats(pixels: DataFrame, keys: list[str], label: str, classes: list, background: tuple = ()) -> DataFrame:
     """A row for each sample: n_<class>, total, num_classes, and the dominant shares.
 

@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from lodestar.sources.scratch import written
 
 
-def places(rows: DataFrame, groups: list[str], order: list[Column | str]) -> DataFrame:
-    """``rows`` with ``place``, from 0, in their group by ``order``, and ``members``, the group's rows.
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def places(rows: DataFrame, groups: list[str], order: list[Column | str], place: str = "place", members: str = "members") -> DataFrame:
+    """``rows`` with ``place``, from 0, in their group by ``order``, and ``members``, the group's rows; columns of these names are replaced.
 
     Rows are dealt into ranges of (group, order); a row's place is its place in its range plus
     the group's rows in the ranges before, of which there is one count a range and group.
     Null groups are groups; rows that are equal in ``order`` get places in any order.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt_to, group, inside, n, dealt_again, group_again, before, all_ = free_names(rows, "range", "group", "inside", "n", "range_of", "group_of", "before", "in_group")
     ranges = rows.repartitionByRange(*map(F.col, groups), *by) if groups or by else rows
-    dealt = written(ranges.withColumn("__range", F.spark_partition_id()), "places")
-    dealt = dealt.withColumn("__group", F.struct(*groups) if groups else F.lit(0))
-    counts = dealt.groupBy("__range", "__group").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    dealt = written(ranges.withColumn(dealt_to, F.spark_partition_id()), "places")
+    dealt = dealt.withColumn(group, F.struct(*groups) if groups else F.lit(0))
+    counts = dealt.groupBy(dealt_to, group).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(group).orderBy(dealt_to).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     counts = counts.select(
-        F.col("__range").alias("__r"),
-        F.col("__group").alias("__g"),
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy("__group")).alias("members"),
+        F.col(dealt_to).alias(dealt_again),
+        F.col(group).alias(group_again),
+        F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before),
+        F.sum(n).over(Window.partitionBy(group)).alias(all_),
     )
-    inside = Window.partitionBy("__range", "__group").orderBy(*by)
-    out = dealt.withColumn("__in", F.row_number().over(inside) - 1).join(counts, (F.col("__range") == F.col("__r")) & F.col("__group").eqNullSafe(F.col("__g")))
-    return out.withColumn("place", F.col("__before") + F.col("__in")).select(*rows.columns, "place", "members")
+    out = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(dealt_to, group).orderBy(*by)) - 1)
+    out = out.join(counts, (F.col(dealt_to) == F.col(dealt_again)) & F.col(group).eqNullSafe(F.col(group_again)))
+    kept = [c for c in rows.columns if c.lower() not in (place.lower(), members.lower())]
+    return out.select(*kept, (F.col(before) + F.col(inside)).alias(place), F.col(all_).alias(members))

@@ -200,7 +200,3 @@ def inner_validation(train: DataFrame, group: str, case: str, count: int, seed:
     val = cases.where(drawn(F.col("place"), F.col("members"), count, seed)).select(F.col(group).alias("__group"), F.col(case).alias("__case"), F.lit(True).alias("__val"))
     joined = train.join(val, F.col(group).eqNullSafe(F.col("__group")) & F.col(case).eqNullSafe(F.col("__case")), "left")
     return joined.withColumn("part", F.when(F.col("__val"), "val").otherwise("train")).select(*train.columns, "part")
-
-
-def part_of(train: Column, validation: Column) -> Column:
-    return F.when(train, "train").when(validation, "validation").otherwise("unmatched")

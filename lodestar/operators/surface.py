@@ -10,11 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def near_any(x: np.ndarray, size: int, before: int) -> np.ndarray:
+    """Whether any pixel is set in the window of ``size`` by ``size`` that begins ``before`` pixels up and left of each one; nothing is set beyond the edge.
+
+    Down each axis the array is cut into blocks of ``size``: a window is the end of one block and the start of the next, and what these hold
+    is carried along within the blocks, so the time doesn't depend on ``size``.
+    """
+    for _ in range(2):
+        x = x.T
+        n = len(x)
+        blocks = -(-(n + size - 1) // size)
+        wide = np.zeros((blocks * size, x.shape[1]), bool)
+        wide[before : before + n] = x
+        cut = wide.reshape(blocks, size, x.shape[1])
+        starts = np.logical_or.accumulate(cut, axis=1).reshape(wide.shape)
+        ends = np.logical_or.accumulate(cut[:, ::-1], axis=1)[:, ::-1].reshape(wide.shape)
+        x = ends[:n] | starts[size - 1 : size - 1 + n]
+    return x
+
+
 def erode(mask: np.ndarray) -> np.ndarray:
     """Pixels of which all nine neighbours are set; there is nothing beyond the edge."""
     wide = np.pad(mask.astype(bool), 1)
-    h, w = mask.shape
-    return np.logical_and.reduce([wide[r : r + h, c : c + w] for r in range(3) for c in range(3)])
+    return ~near_any(~wide, 3, 1)[1:-1, 1:-1]
 
 
 def surface(mask: np.ndarray) -> np.ndarray:
@@ -22,23 +40,47 @@ def surface(mask: np.ndarray) -> np.ndarray:
     return mask & ~erode(mask)
 
 
-def distance_to(points: np.ndarray, spacing: tuple[float, float], at: np.ndarray) -> np.ndarray:
-    """Euclidean distance of the pixels that are set in ``at`` to the nearest one set in ``points``.
+def squared_distances(points: np.ndarray, spacing: tuple[float, float]) -> np.ndarray:
+    """Squared Euclidean distance of each pixel to the nearest one set in ``points``; inf if none is.
 
-    Down each column the nearest set pixel is carried along both ways; over the columns, only the rows of
-    the pixels asked for are searched, some thousands at once.
+    Down each column the nearest set pixel is carried along both ways. Along each row that gives a parabola for every column; of their
+    lower envelope a stack holds the parabolas and where each begins, so a row takes time in proportion to its pixels. All rows go at once.
     """
     h, w = points.shape
     rows, far = np.arange(h)[:, None], np.inf
     above = np.maximum.accumulate(np.where(points, rows, -far), axis=0)
     below = np.minimum.accumulate(np.where(points, rows, far)[::-1], axis=0)[::-1]
     down = (np.minimum(rows - above, below - rows) * spacing[0]) ** 2
-    r, c = np.nonzero(at)
-    out, columns = np.empty(len(r)), np.arange(w)
-    for k in range(0, len(r), 4096):
-        part = slice(k, k + 4096)
-        out[part] = (down[r[part]] + ((columns[None, :] - c[part, None]) * spacing[1]) ** 2).min(axis=1)
-    return np.sqrt(out)
+    own, at = np.arange(h), np.arange(w) * spacing[1]
+    apex, start, top = np.zeros((h, w), int), np.full((h, w + 1), far), np.full(h, -1)
+    for q in range(w):
+        live = own[np.isfinite(down[:, q])]
+        begins = np.full(len(live), -far)
+        wait = np.arange(len(live))[top[live] >= 0]
+        while len(wait):  # those whose last parabola may be hidden
+            r = live[wait]
+            p = apex[r, top[r]]
+            cross = ((down[r, q] + at[q] ** 2) - (down[r, p] + at[p] ** 2)) / (2 * (at[q] - at[p]))
+            hidden = cross <= start[r, top[r]]
+            begins[wait] = np.where(hidden, -far, cross)
+            top[r[hidden]] -= 1
+            wait = wait[hidden]
+            wait = wait[top[live[wait]] >= 0]
+        top[live] += 1
+        apex[live, top[live]], start[live, top[live]], start[live, top[live] + 1] = q, begins, far
+    out, k = np.full((h, w), far), np.zeros(h, int)
+    some = own[top >= 0]
+    for q in range(w) if len(some) else ():
+        while len(late := some[start[some, k[some] + 1] < at[q]]):
+            k[late] += 1
+        p = apex[some, k[some]]
+        out[some, q] = down[some, p] + ((q - p) * spacing[1]) ** 2
+    return out
+
+
+def distance_to(points: np.ndarray, spacing: tuple[float, float], at: np.ndarray) -> np.ndarray:
+    """Euclidean distance of the pixels that are set in ``at`` to the nearest one set in ``points``."""
+    return np.sqrt(squared_distances(points, spacing)[at.astype(bool)])
 
 
 #: Distances where neither mask has a surface, and where only one has.
@@ -94,15 +136,8 @@ def infinite(x: Column) -> Column:
 
 def boundary_band(mask: np.ndarray, kernel: int = 5) -> np.ndarray:
     """Pixels whose kernel-sized neighbourhood within the image holds set and unset ones."""
-    inside = np.ones(mask.shape, bool)
-    before = (kernel - 1) // 2
-    h, w = mask.shape
-
-    def near(x: np.ndarray) -> np.ndarray:
-        wide = np.pad(x, ((before, kernel - 1 - before),) * 2)
-        return np.logical_or.reduce([wide[r : r + h, c : c + w] for r in range(kernel) for c in range(kernel)])
-
-    return near(mask.astype(bool)) & near(inside & ~mask.astype(bool))
+    before, mask = (kernel - 1) // 2, mask.astype(bool)
+    return near_any(mask, kernel, before) & near_any(~mask, kernel, before)
 
 
 def resized(image: np.ndarray, shape: tuple[int, int], nearest: bool) -> np.ndarray:

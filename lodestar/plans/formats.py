@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import names, values
 from lodestar.operators import audit, cohort, overlap, ranking, splits
+from lodestar.operators.order import places
 from lodestar.sources import arrays, tables
 from lodestar.sources.scratch import shared_path, written
 
@@ -216,26 +217,94 @@ def manifest_diff(spark, sf_dir):
     number = F.col("file").cast("bigint") % 10
     theirs = rows.where(number != 1).withColumn("mask_sha256", F.when(number == 0, F.sha2("mask_sha256", 256)).otherwise(F.col("mask_sha256")))
     tables.write_table(theirs, path, sep="\t")
-    return audit.manifest_diff(rows, tables.read_manifest(spark, path)).select("file", "side")
+    return audit.manifest_diff(rows, tables.read_manifest(spark, path), ordered=False).select("file", "side")
 
 
-@query("SELECT * FROM (VALUES ('a.b', '1'), ('a.c', '0.5'), ('a.d.e', 'true'), ('name', 'plain'), ('profile.root', '/x')) AS v(key, value)")
+def _in_parts(rows: DataFrame, part: Column, order: str, columns: list[str], path: str, sep: str = ",") -> None:
+    """A file for each part, in folders whose names sort as the parts do; files are of any sizes."""
+    rows.withColumn("part", part).repartition(1).sortWithinPartitions("part", order).select("part", *columns).write.partitionBy("part").option("header", True).option("sep", sep).csv(path)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS new_file_name, CASE WHEN quality = 1 THEN 'training' ELSE 'validation' END AS subset, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM labels")
+def overview_order(spark, sf_dir):
+    """The first file has a row, the next ones more and more."""
+    path = shared_path(spark, "overview")
+    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("new_file_name"), F.when(F.col("quality") == 1, "training").otherwise("validation").alias("subset"))
+    _in_parts(rows, F.floor(F.log10(F.col("new_file_name") + 1)).cast("int"), "new_file_name", ["new_file_name", "subset"], path)
+    return tables.read_overview(spark, path)
+
+
+@query("""
+    WITH o AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS position FROM pages), p AS (SELECT *, count(*) OVER () AS n FROM o),
+    q AS (SELECT page_id, position, CASE WHEN position // 2 * 2 + 1 < n AND position % 10 < 2 THEN position // 2 * 4 + 1 - position ELSE position END AS other FROM p)
+    SELECT CAST(page_id AS VARCHAR) AS file, position, 'ours' AS side FROM q WHERE other <> position UNION ALL SELECT CAST(page_id AS VARCHAR), other, 'theirs' FROM q WHERE other <> position""")
+def manifest_order(spark, sf_dir):
+    """Two neighbours of ten are swapped: both manifests have the same rows, but not at the same places."""
+    path = shared_path(spark, "manifest")
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.sha2("url", 256).alias("image_sha256"), F.sha2("html", 256).alias("mask_sha256"), "page_id")
+    ours = places(rows, [], ["page_id"], "position")
+    at, pair = F.col("position"), F.floor(F.col("position") / 2) * 2
+    swapped = ours.withColumn("to", F.when((pair + 1 < F.col("members")) & (at % 10 < 2), pair * 2 + 1 - at).otherwise(at))
+    _in_parts(swapped, F.floor(F.log10(F.col("to") + 1)).cast("int"), "to", ["file", "image_sha256", "mask_sha256"], path, sep="\t")
+    return audit.manifest_diff(ours.select("file", "image_sha256", "mask_sha256", "position"), tables.read_manifest(spark, path)).select("file", "position", "side")
+
+
+def _by_linenumber(spark: SparkSession, sf_dir: str, path: str, shapes: list[list[str]]) -> None:
+    """The scores of each line number, as the table of a run; the runs' headers take turns."""
+    rows = _scores(spark, sf_dir, [F.col("l_linenumber").alias("run")]).withColumn("asd", F.when(F.col("class") == "N", F.lit(None)).otherwise(F.col("dice") + 1))
+    for i, shape in enumerate(shapes):
+        rows.where(F.col("run") % len(shapes) == i).select("run", *shape).write.mode("append").partitionBy("run").option("header", True).csv(path)
+
+
+@query("""
+    SELECT CAST(l_linenumber AS VARCHAR) AS run, l_returnflag AS class, round(avg(l_discount), 9) AS dice, CASE WHEN l_linenumber % 3 < 2 THEN round(avg(l_tax), 9) END AS iou,
+           CASE WHEN l_linenumber % 3 = 2 AND l_returnflag <> 'N' THEN round(round(avg(l_discount), 9) + 1, 9) END AS asd FROM lineitem GROUP BY l_linenumber, l_returnflag""")
+def metric_headers(spark, sf_dir):
+    """Tables whose columns differ in order and number: each is read by its own header."""
+    path = shared_path(spark, "metrics")
+    _by_linenumber(spark, sf_dir, path, [["class", "dice", "iou"], ["iou", "class", "dice"], ["asd", "class", "dice"]])
+    found = tables.read_metric_files(spark, path, "*.csv")
+    return found.select(F.regexp_extract("run", "run=(.*)$", 1).alias("run"), "class", "dice", "iou", F.round("asd", 9).alias("asd"))
+
+
+@query("""
+    WITH e AS (SELECT event_type, event_id, value, CASE WHEN event_type < 'd' THEN event_id % 7 END AS accuracy FROM events), m AS (SELECT *, max(value) OVER (PARTITION BY event_type) AS m FROM e)
+    SELECT event_type AS run, CAST(min(event_id) + 1 AS DOUBLE) AS best_epoch, min(value) AS best, (SELECT sum(accuracy)::DOUBLE FROM e WHERE e.event_type = m.event_type) AS accuracy FROM m WHERE value = m GROUP BY 1""")
+def log_headers(spark, sf_dir):
+    """Logs of which only some have accuracy."""
+    path = shared_path(spark, "log")
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("epoch"), (F.col("event_id") % 7).alias("accuracy"), F.col("value").alias("val_mean_iou"))
+    rows.where("run < 'd'").write.mode("append").partitionBy("run").option("header", True).csv(path)
+    rows.where("run >= 'd'").select("val_mean_iou", "epoch", "run").write.mode("append").partitionBy("run").option("header", True).csv(path)
+    log = tables.read_training_log(spark, path, "*.csv").withColumn("run", F.regexp_extract("run", "run=(.*)$", 1))
+    return ranking.best_epoch(log, "run", "epoch", "val_mean_iou").join(log.groupBy("run").agg(F.sum("accuracy").alias("accuracy")), "run")
+
+
+@query("""
+    SELECT 'names.' || r_regionkey AS key, CASE WHEN r_regionkey % 2 = 0 THEN lower(r_name) ELSE 'odd' END AS value FROM region
+    UNION ALL SELECT 'size', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT 'profile.root', '/x' UNION ALL SELECT 'names.more', '0.5'""")
 def config_layers(spark, sf_dir):
-    layers = [{"a": {"b": 1, "c": 2}, "name": "base"}, {"a": {"d": {"e": False}}}, {"profile": {"root": "/x"}}, *map(tables.setting, ["a.c=0.5", "a.d.e=true", "name=plain"])]
-    out: dict = {}
-    for layer in layers:
-        out = tables.merged(out, layer)
+    """A configuration made of two tables: the second file extends the first and takes over its odd entries."""
+    folder = shared_path(spark, "config")
+    regions, nations = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    names_of = lambda rows, value: F.map_from_entries(F.collect_list(F.struct(F.col("r_regionkey").cast("string"), value)))  # noqa: E731  a configuration is one row
+    base = regions.agg(names_of(regions, F.lower("r_name")).alias("names")).join(nations.agg(F.count("*").alias("size")), how="inner")
+    child = regions.where("r_regionkey % 2 = 1").agg(names_of(regions, F.lit("odd")).alias("names"), F.lit("base").alias("extends"))
+    for name, rows in (("base", base), ("child", child)):
+        tables.save_document(spark, rows.select(F.to_json(F.struct(*rows.columns))).first()[0], f"{folder}/{name}.json")
+    found = tables.layered_config(spark, folder, "child", {"root": "/x"}, sets=["names.more=0.5"])
 
     def flat(x: dict, at: str = "") -> list[tuple[str, str]]:
         return [row for k, v in x.items() for row in (flat(v, f"{at}{k}.") if isinstance(v, dict) else [(at + k, str(v).lower())])]
 
-    return spark.createDataFrame(flat(out), "key string, value string")
+    return spark.createDataFrame(flat(found), "key string, value string")
 
 
-@query("SELECT * FROM (VALUES ('strict', 3, 0.55::DOUBLE, 500), ('loose', 2, 0.9::DOUBLE, NULL)) AS v(name, min_classes, threshold, cap)")
+@query("SELECT s_name AS name, CAST(s_nationkey AS INT) AS min_classes, round(s_acctbal / 100, 4) AS threshold, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 3 AS INT) END AS cap FROM supplier")
 def filter_configs(spark, sf_dir):
-    found = [cohort.parse_filter_config(t) for t in ("strict:3:0.55:500", "loose:2:0.9:0")]
-    return spark.createDataFrame([(c.name, c.min_classes, c.threshold, c.cap) for c in found], "name string, min_classes int, threshold double, cap int")
+    rows = read(spark, sf_dir, "supplier")
+    texts = rows.select(F.concat_ws(":", "s_name", F.col("s_nationkey").cast("string"), F.round(F.col("s_acctbal") / 100, 4).cast("string"), (F.col("s_suppkey") % 3).cast("string")).alias("text"))
+    return cohort.parse_filter_configs(texts, "text")
 
 
 _LINES = """

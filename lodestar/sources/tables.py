@@ -6,10 +6,12 @@ import json
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.values import json_text, optional_float, strict_score
+from lodestar.operators.order import places
+from lodestar.sources.scratch import written
 
 
 def _ensure(df: DataFrame, wrong: DataFrame, what: str) -> DataFrame:
@@ -19,9 +21,22 @@ def _ensure(df: DataFrame, wrong: DataFrame, what: str) -> DataFrame:
     return df
 
 
+#: Fixed value: what is stripped from both ends of a line, all that Unicode calls white space and the four separators of ASCII.
+_BLANK = r"(?U)[\s\x1C-\x1F]+"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, f"^{_BLANK}", ""), f"{_BLANK}$", "")
+
+
+def file_order() -> Column:
+    """Where a row stands in its files: path, start of the block, and a number that grows within a block. A block is read by one task, whatever else that reads."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_list(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(file): trimmed lines that aren't blank. ``strict``: none at all, and one that occurs twice, are errors."""
-    rows = spark.read.text(path).select(F.trim("value").alias("file")).where("file <> ''")
+    """(file): stripped lines that aren't blank. ``strict``: none at all, and one that occurs twice, are errors."""
+    rows = spark.read.text(path).select(stripped(F.col("value")).alias("file")).where("file <> ''")
     if not strict:
         return rows
     if rows.isEmpty():
@@ -34,9 +49,10 @@ def plain_names(rows: DataFrame, key: str = "file") -> DataFrame:
 
 
 def read_overview(spark: SparkSession, path: str, name: str = "new_file_name", subset: str = "subset") -> DataFrame:
-    """(name, subset, position) as text, in the file's order."""
-    rows = spark.read.option("header", True).csv(path)
-    return rows.select(F.col(name).cast("string").alias(name), F.col(subset).alias(subset), F.monotonically_increasing_id().alias("position"))
+    """(name, subset, position) as text; ``position`` counts the rows from 0 in the order of the files' paths and of the rows in each."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+    rows = rows.select(F.col(name).cast("string").alias(name), F.col(subset).alias(subset), file_order().alias("at"))
+    return places(rows, [], ["at"], "position").select(name, subset, "position")
 
 
 def read_metrics(spark: SparkSession, path: str, wanted: list[str], score: str = "dice") -> DataFrame:
@@ -53,23 +69,49 @@ def run_folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
+#: Different column names that all tables below a folder may have.
+MAX_NAMES = 10_000
+
+
+def read_by_header(spark: SparkSession, path: str, pattern: str | None = None, sep: str = ",") -> DataFrame:
+    """Rows of delimited files, each read by its own header line: (run, at, and a text column for each name that any file has).
+
+    A column that a file lacks is null in its rows; of a name that a header has twice the last one counts; fields beyond the header are left out. Rows
+    are single lines; blank lines aren't rows. ``at`` is a row's ``file_order``. More than ``MAX_NAMES`` names, or names that differ by case alone, are an error.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path).select("value", file_order().alias("at"))
+    lines = written(lines.where(F.trim("value") != ""), "lines")  # places in files are kept, not found a second time
+    first = lines.groupBy(F.col("at.path").alias("path")).agg(F.min(F.struct("at", "value")).alias("first")).select("path", F.col("first.at").alias("first"), F.col("first.value").alias("header"))
+    width = first.agg(F.max(F.size(F.split("header", F.lit(f"\\Q{sep}\\E")))).alias("n")).first()["n"] or 1
+    cells = lambda c: F.array(*(F.from_csv(c, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep})[f"c{i}"] for i in range(width)))
+    headers = first.select("path", "first", cells(F.col("header")).alias("names"))
+    found = [r[0] for r in headers.select(F.explode("names").alias("name")).where("name is not null").distinct().limit(MAX_NAMES + 1).collect()]
+    if len(found) > MAX_NAMES or len({c.lower() for c in found}) < len(found):
+        raise ValueError(f"{path}: more than {MAX_NAMES} column names, or some that differ by case alone")
+    rows = lines.join(headers, F.col("at.path") == F.col("path")).where(F.col("at") != F.col("first"))
+    rows = rows.select(run_folder(F.col("path")).alias("run"), "at", F.arrays_zip("names", cells(F.col("value")).alias("values")).alias("cells"))
+    of = lambda name: F.try_element_at(F.filter("cells", lambda x: x["names"] == name), F.lit(-1))["values"].alias(name)
+    return rows.select("run", "at", *(of(c) for c in sorted(found) if c.lower() not in ("run", "at")))
+
+
 def read_metric_files(spark: SparkSession, path: str, pattern: str = "validation_metrics.csv") -> DataFrame:
-    """Rows of all metric tables below ``path`` with their ``run`` folder; blank and infinite numbers are null, of a class that occurs twice the last row counts."""
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
-    rows = rows.withColumn("run", run_folder(F.col("_metadata.file_path"))).withColumn("__at", F.monotonically_increasing_id())
-    numbers = [c for c in rows.columns if c not in ("run", "class", "__at")]
-    return rows.groupBy("run", "class").agg(*(F.max_by(optional_float(F.col(c)), "__at").alias(c) for c in numbers))
+    """Rows of all metric tables below ``path`` with their ``run`` folder, each table by its own header; blank and infinite numbers are null, as are columns that a table lacks. Of a class that occurs twice the last row counts."""
+    rows = read_by_header(spark, path, pattern)
+    numbers = [c for c in rows.columns if c not in ("run", "class", "at")]
+    return rows.groupBy("run", "class").agg(*(F.max_by(optional_float(F.col(c)), "at").alias(c) for c in numbers))
 
 
 def read_training_log(spark: SparkSession, path: str, pattern: str = "training_log.csv") -> DataFrame:
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
-    return rows.select(run_folder(F.col("_metadata.file_path")).alias("run"), *(F.col(c).try_cast("double").alias(c) for c in rows.columns))
+    """Rows of all logs below ``path`` with their ``run`` folder, each log by its own header; what isn't a number is null, as are columns that a log lacks."""
+    rows = read_by_header(spark, path, pattern)
+    return rows.select("run", *(F.col(f"`{c}`").try_cast("double").alias(c) for c in rows.columns if c not in ("run", "at")))
 
 
 def read_run_configs(spark: SparkSession, path: str, strict: bool = True, pattern: str = "*.tsv") -> DataFrame:
     """(run, config map): key and value tables; ``strict``: blank and double keys are errors, else the last value counts."""
     rows = spark.read.schema("key string, value string").option("header", True).option("sep", "\t").option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
-    rows = rows.select(run_folder(F.col("_metadata.file_path")).alias("run"), F.trim(F.coalesce("key", F.lit(""))).alias("key"), F.coalesce("value", F.lit("")).alias("value"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.select(run_folder(F.col("_metadata.file_path")).alias("run"), F.trim(F.coalesce("key", F.lit(""))).alias("key"), F.coalesce("value", F.lit("")).alias("value"), file_order().alias("at"))
     if strict:
         _ensure(rows, rows.groupBy("run", "key").count().where("count > 1 or key = ''"), "keys that are blank or occur twice")
     last = rows.where("key <> ''").groupBy("run", "key").agg(F.max_by("value", "at").alias("value"))
@@ -77,11 +119,11 @@ def read_run_configs(spark: SparkSession, path: str, strict: bool = True, patter
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, image_sha256, mask_sha256), which have to be the header; no row is an error."""
-    rows = spark.read.schema("file string, image_sha256 string, mask_sha256 string").option("header", True).option("sep", "\t").option("enforceSchema", False).csv(path)
+    """(file, image_sha256, mask_sha256, position), the first three of which have to be the header; ``position`` counts from 0 in file order. No row is an error."""
+    rows = spark.read.schema("file string, image_sha256 string, mask_sha256 string").option("header", True).option("sep", "\t").option("enforceSchema", False).option("recursiveFileLookup", True).csv(path)
     if rows.isEmpty():
         raise ValueError(f"{path} has no rows")
-    return rows
+    return places(rows.withColumn("at", file_order()), [], ["at"], "position").select("file", "image_sha256", "mask_sha256", "position")
 
 
 # -- writers -------------------------------------------------------------------------------
@@ -180,25 +222,17 @@ def setting(text: str) -> dict:
     return value
 
 
-def layered_config(folder: str, name: str, profile: Mapping | None = None, env: Mapping[str, str] | None = None, sets: list[str] = ()) -> dict:
-    """A JSON configuration over those it ``extends``, under a profile, environment variables (variable -> profile key) and settings."""
+def layered_config(spark: SparkSession, folder: str, name: str, profile: Mapping | None = None, env: Mapping[str, str] | None = None, sets: list[str] = ()) -> dict:
+    """A JSON configuration over those it ``extends``, under a profile, environment variables (variable -> profile key) and settings. Files are read by Spark, wherever they are."""
     layers, seen = [], set()
     while name:
         if name in seen:
             raise ValueError(f"{name} extends itself")
         seen.add(name)
-        with open(os.path.join(folder, f"{name}.json"), encoding="utf-8") as f:
-            layers.append(json.load(f))
+        layers.append(json.loads(spark.read.option("wholetext", True).text(f"{folder}/{name}.json").first()["value"]))
         name = layers[-1].pop("extends", None)
     over = [{"profile": dict(profile or {})}, {"profile": {key: os.environ[v] for v, key in (env or {}).items() if os.environ.get(v)}}, *map(setting, sets)]
     out: dict = {}
     for layer in (*reversed(layers), *over):
         out = merged(out, layer)
     return out
-
-
-def with_position(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """``position`` of each row: groups by their first name, then names; for lists whose order counts."""
-    first = rows.groupBy(group).agg(F.min(order).alias("__first"))
-    by = Window.partitionBy(group).orderBy(order)
-    return rows.join(first, group).withColumn("position", F.struct("__first", F.row_number().over(by).alias("n"))).drop("__first")

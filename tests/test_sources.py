@@ -88,11 +88,11 @@ def test_documents_stay_outside(spark, tmp_path):
         tables.save_outside(spark, text, f"file://{tmp_path}/repository/out", f"file:{tmp_path}/repository")
 
 
-def test_layers_of_a_configuration(tmp_path, monkeypatch):
+def test_layers_of_a_configuration(spark, tmp_path, monkeypatch):
     (tmp_path / "base.json").write_text(json.dumps({"a": {"b": 1, "c": 2}}))
     (tmp_path / "child.json").write_text(json.dumps({"extends": "base", "a": {"b": 3}}))
     monkeypatch.setenv("LODESTAR_ROOT", "/x")
-    got = tables.layered_config(str(tmp_path), "child", {"root": "/y", "n": 1}, {"LODESTAR_ROOT": "root"}, ["a.c=0.5", "d=plain"])
+    got = tables.layered_config(spark, str(tmp_path), "child", {"root": "/y", "n": 1}, {"LODESTAR_ROOT": "root"}, ["a.c=0.5", "d=plain"])
     assert got == {"a": {"b": 3, "c": 0.5}, "profile": {"root": "/x", "n": 1}, "d": "plain"}
     with pytest.raises(ValueError):
         tables.setting("nothing")
