@@ -158,7 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
 
         return map_rows(own, run, schema)
 
-    numbered = materialise(own.withColumn("__row", F.monotonically_increasing_id()), "decontam")
+    row, hits, items_of_row = (fresh_name(x, own) for x in ("row", "hits", "items"))
+    numbered = materialise(own.withColumn(row, F.monotonically_increasing_id()), "decontam")
     parts = []
     for one in shared:
 
@@ -173,12 +174,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
                     items_of.append(sorted(map(str, found)))
             return [rows, spans_of, items_of]
 
-        parts.append(map_rows(numbered.select("__row", text), scan, "__row bigint, hits array<struct<a:int,b:int>>, items array<string>"))
+        parts.append(map_rows(numbered.select(row, text), scan, f"`{row}` bigint, `{hits}` array<struct<a:int,b:int>>, `{items_of_row}` array<string>"))
     united = parts[0]
     for p in parts[1:]:
         united = united.unionByName(p)
     # at most one row per shard and document
-    united = united.groupBy("__row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = united.groupBy(row).agg(F.flatten(F.collect_list(hits)).alias(hits), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items_of_row)))).alias(items_of_row))
 
     def unite(batch: pa.RecordBatch) -> list:
         rows = []
@@ -192,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
             rows.append(finish(t, len(words_of(t)), spans, sorted(found or ())))
         return [batch.column(0), *(list(zip(*rows, strict=True)) if rows else [[]] * 6)]
 
-    joined = numbered.join(united, "__row", "left").select(key, text, "hits", "items")
+    joined = numbered.join(united, row, "left").select(key, text, hits, items_of_row)
     return map_rows(joined, unite, schema)
 
 

@@ -4,8 +4,9 @@ A batch of changes holds images of documents before and after: inserts have no i
 before, deletes none after, revisions both. Each batch becomes one small table of sums
 of signed counts, written in a folder of its own and then named in the commit log. A
 batch that the log names is never applied again; one that broke off before is
-written anew over its remains. Totals are the sums of all committed deltas; ``compact`` sums them up into a base,
-after which only later batches are read.
+written anew over its remains. Totals are the sums of all committed deltas; ``compact`` sums them up into a base
+and then deletes them, after which the base and the folders of later batches are read, by name. There may be ``MAX_OPEN`` of these; more are
+an error until they are compacted.
 
 One writer at a time. Edge cases: null sources, languages and texts are groups and
 counts of their own (a null text has no tokens); a null image adds nothing; repeated
@@ -32,6 +33,9 @@ CACHE_CHARS = 64
 #: Bits that hold one tokenizer's count in a packed number; no text has that many tokens.
 _BITS = 40
 
+#: Batches that may be committed since the last compaction.
+MAX_OPEN = 10_000
+
 KEYS = ("source", "lang", "tokenizer")
 _LOG = "batch_id string"
 _BASE = "version bigint"
@@ -124,28 +128,51 @@ class Rollup:
         last = self.spark.read.schema(_BASE).parquet(f"{self.path}/bases").agg(F.max("version").alias("v")).first()["v"]
         return None if last is None else f"{self.path}/base/{last}"
 
-    def _sums(self) -> tuple[DataFrame, DataFrame]:
-        """Sums of all committed batches, and their ids."""
-        deltas, ids = self.spark.read.schema(f"{_DELTA}, batch_id string").parquet(f"{self.path}/delta"), self.committed()
-        base, rest = self._base(), ids
-        if base is not None:
-            rest = ids.join(self.spark.read.schema(_LOG).parquet(f"{base}/batches"), "batch_id", "left_anti")
-        rows = deltas.join(rest, "batch_id", "left_semi").select(*KEYS, "docs", "tokens", "bytes")
-        if base is not None:
-            rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(f"{base}/sums"))
+    def _compacted(self, base: str | None) -> DataFrame:
+        return self.spark.read.schema(_LOG).parquet(f"{base}/batches") if base else self.spark.createDataFrame([], _LOG)
+
+    def _open(self, base: str | None) -> list[str]:
+        """Ids of the batches that the base hasn't."""
+        rows = self.committed().join(self._compacted(base), "batch_id", "left_anti").limit(MAX_OPEN + 1).collect()
+        if len(rows) > MAX_OPEN:
+            raise ValueError(f"more than {MAX_OPEN} batches since the last compaction")
+        return sorted(r[0] for r in rows)
+
+    def _sums(self, base: str | None, ids: list[str]) -> DataFrame:
+        """Sums of the base and of the batches named."""
+        paths = [f"{base}/sums"] * bool(base) + [f"{self.path}/delta/batch_id={i}" for i in ids]
+        rows = self.spark.read.schema(_DELTA).parquet(*(paths or [f"{self.path}/delta/batch_id=@start"]))
         sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "bytes")))
-        return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0) | (F.col("bytes") != 0)), ids
+        return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0) | (F.col("bytes") != 0))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _folders(self, part: str) -> list[str]:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return [x.getPath().getName() for x in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
 
     def compact(self) -> int:
-        """Sum up all committed batches into a new base, and give its version. One that breaks off before its last step isn't seen."""
-        last = self.spark.read.schema(_BASE).parquet(f"{self.path}/bases").agg(F.max("version").alias("v")).first()["v"]
-        version = (last or 0) + 1
-        sums, ids = self._sums()
-        sums.write.mode("overwrite").parquet(f"{self.path}/base/{version}/sums")
-        ids.write.mode("overwrite").parquet(f"{self.path}/base/{version}/batches")
+        """Sum up all committed batches into a new base, and give its version. One that breaks off before it is committed isn't seen; what it should have deleted, the next one deletes.
+
+        Results of ``totals`` that haven't been computed by then have to be asked for again.
+        """
+        base = self._base()
+        ids, version = self._open(base), int(base.rpartition("/")[2]) + 1 if base else 1
+        path = f"{self.path}/base/{version}"
+        self._sums(base, ids).write.mode("overwrite").parquet(f"{path}/sums")
+        done = self._compacted(base).unionByName(self.spark.createDataFrame([(i,) for i in ids], _LOG))
+        done.coalesce(1).write.mode("overwrite").parquet(f"{path}/batches")
         self.spark.createDataFrame([(version,)], _BASE).coalesce(1).write.mode("append").parquet(f"{self.path}/bases")
+        there = self.spark.createDataFrame([(x.partition("=")[2],) for x in self._folders("delta")], _LOG)
+        for row in there.join(self._compacted(path), "batch_id", "left_semi").toLocalIterator():
+            self._delete(f"{self.path}/delta/batch_id={row[0]}")
+        if base:
+            self._delete(base)
         return version
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens, bytes) after all committed batches."""
-        return self._sums()[0]
+        base = self._base()
+        return self._sums(base, self._open(base))

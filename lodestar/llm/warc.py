@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, materialise, scratch_path
+from lodestar.llm.common import arrow_types, map_rows, materialise, scratch_path
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 1000
@@ -61,8 +62,8 @@ def arc_record(version: int, url: str | None, date: str, body: bytes, name: str
 def parse_arc(data: bytes) -> Iterator[dict]:
     """The records of an ARC archive as dictionaries of header fields, with ``body``.
 
-    Raises ValueError for an unknown version, a header line with another number of
-    fields, or a declared length beyond the end.
+    The fields of a line are taken from the right, as URLs of old archives may hold blanks. Raises ValueError for an unknown version, a header line with
+    fewer fields, or a declared length beyond the end.
     """
     view, at, fields = memoryview(data), 0, None
     while at < len(data):
@@ -83,8 +84,9 @@ def parse_arc(data: bytes) -> Iterator[dict]:
                 raise ValueError(f"unknown ARC version {version}")
             fields = ARC_FIELDS[version]
         else:
-            if len(line) != len(fields):
+            if len(line) < len(fields):
                 raise ValueError(f"ARC header line at byte {at} has {len(line)} fields, not {len(fields)}")
+            line = [" ".join(line[: len(line) - len(fields) + 1]), *line[len(line) - len(fields) + 1 :]]
             length = int(line[-1])
             if end + 1 + length > len(data):
                 raise ValueError(f"ARC record at byte {at} is cut off")
@@ -198,6 +200,53 @@ def convert_pages(pages: DataFrame, date: str = "20260101000000", min_bytes: int
     return map_rows(with_originals(pages, min_bytes), run, "record binary")
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive as it is, or all gzip members of one that is compressed; each record may be a member of its own."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out += [member.decompress(data), member.flush()]
+        data = member.unused_data
+    return b"".join(out) if out else data
+
+
+_ARC = "file string, nth bigint, url string, ip string, archive_date string, content_type string, body binary"
+
+
+def read_arc(spark: SparkSession, path: str, pattern: str = "*.arc*") -> DataFrame:
+    """(file, nth, url, ip, archive_date, content_type, body): the records of all ARC archives below ``path``, compressed or not; one that can't be parsed fails the job.
+
+    An archive is read by one task; legacy writers keep them to some hundred megabytes.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+    types, names = arrow_types(spark, _ARC), ("URL", "IP-address", "Archive-date", "Content-type", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for some in itertools.batched(enumerate(parse_arc(unpacked(blob.as_py()))), 256):
+                    columns = zip(*((at, nth, *(r[x] for x in names)) for nth, r in some), strict=True)
+                    yield pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
+
+    return files.mapInArrow(run, _ARC)
+
+
+def convert_arc(arcs: DataFrame) -> DataFrame:
+    """(record binary): WARC response records of what ``read_arc`` gives, ready for ``write_warc``. Their identifiers follow from file, place, URL and payload."""
+
+    def run(batch: pa.RecordBatch) -> list:
+        out = []
+        for file, nth, url, date, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            arc = {"URL": url, "Archive-date": date, "body": body}
+            digest = hashlib.sha1(body.partition(b"\r\n\r\n")[2]).hexdigest()
+            record = warc_record(None, url, arc, None, None, digest)
+            own = record_id(f"{file}#{nth}", url, digest)  # records of several archives may be equal
+            out.append(record.replace(record_id(None, url, digest).encode(), own.encode(), 1))
+        return [out]
+
+    return map_rows(arcs.select("file", "nth", "url", "archive_date", "body"), run, "record binary")
+
+
 def write_warc(records: DataFrame, path: str, per_file: int = 10_000) -> None:
     """Write records as gzip archives: each part file is up to ``per_file`` WARC records that end with two line breaks."""
     rows = records.select(F.col("record").cast("string").alias("value"))
