@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import names, values
 from lodestar.operators import audit, cohort, overlap, ranking, splits
 from lodestar.operators.order import places
-from lodestar.sources import arrays, tables
+from lodestar.sources import archive_files, arrays, tables
 from lodestar.sources.scratch import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,33 @@ def corrupt_scan(spark, sf_dir):
     return bad.unionByName(arrays.readable(found).select(F.lit("readable").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+    SELECT {_FILE} AS file, folder, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN folder = 'masks' THEN 2 ELSE 1 END, 9) AS first_cell, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * CASE WHEN folder = 'masks' THEN 2 ELSE 1 END, 6) AS total
+    FROM embeddings, (VALUES ('images'), ('masks')) AS t(folder) WHERE vec_id % 4 > 0""")
+def pair_files(spark, sf_dir):
+    """Pairs written as files below the shared folder, twice, and read again; images of vec_ids that 4 divides have no mask."""
+    path, rows = shared_path(spark, "pairs"), _images(spark, sf_dir)
+    doubled = rows.where("vec_id % 4 > 0").withColumn("cells", F.transform("cells", lambda x: x.cast("double") * 2))
+    images, masks = arrays.pack_archives(rows, "image", "cells", "shape", "f8"), arrays.pack_archives(doubled, "image", "cells", "shape", "f8")
+    for _ in range(2):
+        archive_files.save_pairs(images, masks, path, overwrite=True)
+    found = arrays.readable(archive_files.load_archives(spark, path, "image"))
+    total = F.round(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x), 6)
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), F.element_at(F.split("file", "/"), 1).alias("folder"), F.round(F.get("cells", F.lit(0)), 9).alias("first_cell"), total.alias("total"))
+
+
+@query(f"""
+    SELECT {_FILE} AS file, CASE WHEN vec_id % 7 > 0 THEN 64 END AS pixels, CASE WHEN vec_id % 7 > 0 THEN CASE WHEN vec_id % 3 = 1 THEN 'T2_SPACE' ELSE 'T2' END END AS sequence, vec_id % 7 = 0 AS broken FROM embeddings""")
+def archive_metadata(spark, sf_dir):
+    """Shapes and metadata of files of which the cells aren't read; some are cut off."""
+    path = shared_path(spark, "archives")
+    rows = _images(spark, sf_dir).withColumn("sequence", F.when(F.col("vec_id") % 3 == 1, "T2_SPACE"))
+    packed = arrays.pack_archives(rows, "image", "cells", "shape", "f4", ("sequence",)).join(rows.select("file", "vec_id"), "file")
+    archive_files.save_archives(packed.withColumn("content", F.when(F.col("vec_id") % 7 == 0, F.substring("content", 1, 20)).otherwise(F.col("content"))), path)
+    found, broken = archive_files.load_archives(spark, path, "image", cells=False), F.col("error").isNotNull()
+    return found.select("file", (F.get("shape", F.lit(0)) * F.get("shape", F.lit(1))).alias("pixels"), F.when(~broken, F.col("sequence")).alias("sequence"), broken.alias("broken"))
+
+
 @query("""
     WITH v AS (SELECT vec_id, vec_id % 2 = 1 AS odd, CASE WHEN vec_id % 5 = 0 AND vec_id % 2 = 0 THEN list_concat(embedding[1:32], list_transform(range(32), lambda i: 1.0::FLOAT)) ELSE embedding END AS e FROM embeddings),
     s AS (SELECT vec_id, odd, i, CASE WHEN odd THEN [e[2 * j + i + 1] FOR j IN range(32)] ELSE e[32 * i + 1:32 * i + 32] END AS c FROM (SELECT *, unnest(range(2)) AS i FROM v))
