@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.values import fingerprint
-
 
 def pair_status(images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
     """pair, image_only or mask_only for each name."""
@@ -23,8 +25,40 @@ def duplicates(names: DataFrame, key: str) -> DataFrame:
 
 
 def cohort_fingerprint(names: DataFrame, group: str, key: str) -> DataFrame:
-    """SHA-256 of each group's sorted names, which have to be few enough for one row."""
-    return names.groupBy(group).agg(F.count("*").alias("n"), fingerprint(F.array_sort(F.collect_list(F.col(key).cast("string")))).alias("sha256"))
+    """(group, n, sha256): rows of each group, and the digest of its sorted names, one a line, no line break at the end; null names are rows without a line.
+
+    A group's names pass through one task, as a digest has to, in batches of a sorted partition: no row and no task holds them.
+    """
+    kind = names.schema[group].dataType.simpleString()
+    rows = names.select(F.col(group).alias("g"), F.col(key).cast("string").alias("name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, digest = None, 0, None  # of the group that is being read
+        done = lambda: pa.record_batch([at, pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["g", "n", "sha256"])
+        first = True
+        for batch in batches:
+            cells, groups = batch.column(1), batch.column(0)
+            values = groups.to_pylist()
+            start = 0
+            for end in range(1, len(values) + 1):
+                if end < len(values) and values[end] == values[start]:
+                    continue
+                own = groups.slice(start, 1)
+                if digest is None or own != at:
+                    if digest is not None:
+                        yield done()
+                    at, n, digest, first = own, 0, hashlib.sha256(), True
+                lines = [x for x in cells.slice(start, end - start).to_pylist() if x is not None]
+                if lines:
+                    digest.update((("" if first else "\n") + "\n".join(lines)).encode())
+                    first = False
+                n += end - start
+                start = end
+        if digest is not None:
+            yield done()
+
+    found = rows.repartition("g").sortWithinPartitions("g", "name").mapInArrow(run, f"g {kind}, n bigint, sha256 string")
+    return found.withColumnRenamed("g", group)
 
 
 def manifest_diff(ours: DataFrame, theirs: DataFrame, ordered: bool = True) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lodestar.functions.values import evenly_spaced, ratio
-from lodestar.operators.order import places
+from lodestar.operators.order import free_names, places
 
 
 @dataclass(frozen=True)
@@ -138,15 +138,30 @@ def imbalance_definitions(all_classes: list[Column], front: list[Column]) -> dic
 
 
 def definition_rollup(rows: DataFrame, group: str, series: str, complete: Column, tests: dict[str, Column], means: list[str]) -> DataFrame:
-    """Per group and for ALL: samples, complete ones, kept and kept series per definition, and mean fractions."""
-    flagged = rows.withColumn("__complete", complete).withColumns({f"__{k}": F.coalesce(complete & t, F.lit(False)) for k, t in tests.items()})
-    total = flagged.rollup(group).agg(
-        F.countDistinct(series).alias("series"),
-        F.count("*").alias("total"),
-        F.sum(F.col("__complete").cast("bigint")).alias("complete"),
-        *(F.sum(F.col(f"__{k}").cast("bigint")).alias(f"kept_{k}") for k in tests),
-        *(F.countDistinct(F.when(F.col(f"__{k}"), F.col(series))).alias(f"series_{k}") for k in tests),
-        *(F.round(F.avg(F.when(F.col("__complete"), F.col(c))), 4).alias(f"mean_{c}") for c in means),
-        F.grouping(group).alias("__all"),
-    )
-    return total.withColumn(group, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(group))).drop("__all")
+    """Per group and for ALL: samples, complete ones, kept and kept series per definition, and mean fractions.
+
+    Samples are added up to a row for each group and series first; series are counted there, by whether a definition keeps any of their samples. Rows without a
+    series count as samples, not as a series. Without rows there is no result.
+    """
+    (flag,) = free_names(rows, "complete")
+    flagged = rows.withColumn(flag, F.coalesce(complete, F.lit(False)))
+    number = lambda x: F.sum(F.coalesce(x, F.lit(False)).cast("bigint"))
+    parts = {"n": F.count("*"), "complete": number(F.col(flag))}
+    parts |= {f"kept_{k}": number(F.col(flag) & t) for k, t in tests.items()}
+    of_complete = {c: F.when(F.col(flag), F.col(c)) for c in means}
+    parts |= {f"sum_{c}": F.sum(x) for c, x in of_complete.items()} | {f"count_{c}": F.count(x) for c, x in of_complete.items()}
+    by_series = flagged.groupBy(F.col(group).alias("g"), F.col(series).alias("s")).agg(*(x.alias(k) for k, x in parts.items()))
+    across = by_series.groupBy("s").agg(*(F.sum(k).alias(k) for k in parts))
+
+    def totals(of: GroupedData) -> DataFrame:
+        return of.agg(
+            F.count("s").alias("series"),
+            F.sum("n").alias("total"),
+            F.sum("complete").alias("complete"),
+            *(F.sum(f"kept_{k}").alias(f"kept_{k}") for k in tests),
+            *(F.count(F.when(F.col(f"kept_{k}") > 0, F.col("s"))).alias(f"series_{k}") for k in tests),
+            *(F.round(F.sum(f"sum_{c}") / F.nullif(F.sum(f"count_{c}"), F.lit(0)), 4).alias(f"mean_{c}") for c in means),
+        )
+
+    whole = totals(across.groupBy()).where("total > 0")
+    return totals(by_series.groupBy("g")).unionByName(whole.withColumn("g", F.lit("ALL"))).withColumnRenamed("g", group)

@@ -383,6 +383,38 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.target_decision(rows, "l_linenumber", "l_returnflag", "score", {"A": 0.049, "N": 0.0495, "R": 0.049}, 0.05)
 
 
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS record, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation GROUP BY 1")
+def record_once(spark, sf_dir):
+    """A record for each region, appended twice: the second time nothing is written."""
+    path, rows = shared_path(spark, "once"), read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    for region in [*range(5), *range(5)]:
+        tables.append_once(rows.where(F.col("n_regionkey") == region), path, str(region))
+    found = tables.read_records(spark, path).select("record", F.get_json_object("value", "$.n_nationkey").cast("bigint").alias("key"))
+    return found.groupBy("record").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+@query(f"""
+    WITH {_LINES.strip()}
+    SELECT 'raw' AS audit, source AS name, count(*) AS n, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS m, NULL::DOUBLE AS x FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
+    UNION ALL SELECT 'slices', CAST(l_orderkey AS VARCHAR), k, NULL, round(dom, 9) FROM s
+    UNION ALL SELECT 'summary', CAST(k AS VARCHAR), count(*), count(*) FILTER (dom <= 0.55::DOUBLE), round(avg(dom), 9) FROM s GROUP BY k""")
+def audit_tables(spark, sf_dir):
+    """The three tables of an audit, raw counts, samples and summary, as files and read back."""
+    path = shared_path(spark, "audit")
+    volumes = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left").select("source", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("has"))
+    slices = front_stats(spark, sf_dir).select("l_orderkey", "num_classes", "dominant_foreground")
+    kept = F.sum((F.col("dominant_foreground") <= 0.55).cast("bigint")).alias("kept")
+    summary = slices.groupBy("num_classes").agg(F.count("*").alias("total"), kept, F.avg("dominant_foreground").alias("mean"))
+    for name, rows in (("raw", audit.raw_audit(volumes, ["source"], "has")), ("slices", slices), ("summary", summary)):
+        tables.write_table(rows, f"{path}/{name}")
+    back = lambda name, *columns: spark.read.option("header", True).csv(f"{path}/{name}").select(F.lit(name).alias("audit"), *columns)
+    number = lambda c, to: F.col(c).cast("bigint").alias(to) if c else F.lit(None).cast("bigint").alias(to)
+    share = lambda c: F.round(F.col(c).cast("double"), 9).alias("x") if c else F.lit(None).cast("double").alias("x")
+    raw = back("raw", F.col("source").alias("name"), number("series_count", "n"), number("mask_count", "m"), share(None))
+    samples = back("slices", F.col("l_orderkey").alias("name"), number("num_classes", "n"), number(None, "m"), share("dominant_foreground"))
+    return raw.unionByName(samples).unionByName(back("summary", F.col("num_classes").alias("name"), number("total", "n"), number("kept", "m"), share("mean")))
+
+
 @query(f"""WITH {_DECISIONS}
     SELECT l_linenumber, '{{"in_scope":' || (l_linenumber % 2 = 1 AND l_linenumber <> 7) || ',"macro":' || macro || ',"passed":' || passed || ',"stated":' || CASE WHEN l_linenumber = 7 THEN 'null' WHEN l_linenumber % 2 = 1 THEN '"T2_SPACE"' ELSE '"T2"' END || '}}' AS document FROM t""")
 def target_json(spark, sf_dir):

@@ -235,8 +235,9 @@ def evaluation_report(spark, sf_dir):
     joined = arrays.with_predictions(truth, pred).select("file", names.patient_id(F.col("series_id")).alias("case"), F.col("cells").cast("array<int>").alias("t"), F.col("pred").cast("array<int>").alias("p"))
     counted = overlap.array_counts(joined, ["file", "case"], "p", "t", 4)
     head = overlap.headline(overlap.by_unit(counted, "case", "case"), False)
-    cohort_of = joined.agg(F.countDistinct("file").alias("n_slices"), F.countDistinct("case").alias("n_cases"), values.fingerprint(F.array_sort(F.collect_list("file"))).alias("sha256"))
-    return cohort_of.crossJoin(head).select("n_slices", "n_cases", *(F.round(c, 8).alias(c) for c in ("foreground_macro_dice", "all_class_mean_dice", "mean_iou")), "sha256")
+    cohort_of = joined.agg(F.countDistinct("file").alias("n_slices"), F.countDistinct("case").alias("n_cases"))
+    digest = audit.cohort_fingerprint(joined.select(F.lit("all").alias("cohort"), "file"), "cohort", "file").select("sha256")
+    return cohort_of.crossJoin(digest).crossJoin(head).select("n_slices", "n_cases", *(F.round(c, 8).alias(c) for c in ("foreground_macro_dice", "all_class_mean_dice", "mean_iou")), "sha256")
 
 
 @query("SELECT (SELECT avg(l_discount) FROM lineitem) IS NOT NULL AS scored, round(avg(d) FILTER (c IN ('A', 'R')), 9) AS foreground_macro_dice, round(avg(d), 9) AS all_class_mean_dice FROM (SELECT l_returnflag AS c, avg(l_discount) AS d FROM lineitem GROUP BY 1)")

@@ -143,6 +143,37 @@ def append_records(rows: DataFrame, path: str) -> None:
     rows.select(json_text(rows.schema).alias("value")).write.mode("append").text(path)
 
 
+_RECORDS = "record string"
+
+
+def _recorded(spark: SparkSession, path: str) -> DataFrame:
+    spark.createDataFrame([], _RECORDS).write.mode("ignore").parquet(f"{path}/_log")  # so that it can be read before any append
+    return spark.read.schema(_RECORDS).parquet(f"{path}/_log").distinct()
+
+
+def append_once(rows: DataFrame, path: str, record: str) -> bool:
+    """``append_records`` under a name; False if that name was appended before. What broke off before it was logged isn't read, and is written anew over its remains. One writer at a time."""
+    spark = rows.sparkSession
+    if not record or any(c in record for c in "/=%"):
+        raise ValueError("a record's name is text without / = %")
+    if not _recorded(spark, path).where(F.col("record") == record).isEmpty():
+        return False
+    rows.select(json_text(rows.schema).alias("value")).write.mode("overwrite").text(f"{path}/record={record}")
+    spark.createDataFrame([(record,)], _RECORDS).coalesce(1).write.mode("append").parquet(f"{path}/_log")
+    return True
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, value) of what ``append_once`` has logged; ``value`` is a JSON object."""
+    logged = _recorded(spark, path)
+    if logged.isEmpty():
+        return spark.createDataFrame([], "record string, value string")
+    found = spark.read.option("recursiveFileLookup", True).text(path)
+    found = found.select(F.regexp_extract("_metadata.file_path", r"/record=([^/]*)/[^/]*$", 1).alias("of_file"), "value")
+    decoded = found.withColumn("of_file", F.url_decode(F.replace("of_file", F.lit("+"), F.lit("%2B"))))
+    return logged.join(decoded, F.col("record") == F.col("of_file")).select("record", "value")
+
+
 def _few(rows: DataFrame, most: int) -> list:
     found = rows.limit(most + 1).collect()
     if len(found) > most:
