@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,38 +90,56 @@ def run_summary(runs: DataFrame, condition: str, score: str) -> DataFrame:
     return runs.groupBy(condition).agg(F.count(score).alias("runs"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))
 
 
-#: Pairs of one comparison that ``signed_rank`` takes into a task.
-MAX_PAIRS = 100_000
-#: Up to so many pairs the distribution of the rank sum is counted out, beyond it the normal one is taken.
+#: Up to so many pairs that differ the distribution of the rank sum is counted out, beyond it the normal one is taken.
 EXACT_PAIRS = 50
 
 
-def signed_rank_p(differences: np.ndarray) -> tuple[float, float]:
-    """The smaller sum of signed ranks and the two-sided p; zeros are left out, ties share their mean rank."""
-    d = differences[differences != 0]
-    n = len(d)
-    if n == 0:
-        return 0.0, 1.0
-    twice = pd.Series(np.abs(d)).rank().to_numpy() * 2  # whole numbers, ties too
-    least = min(twice[d > 0].sum(), twice[d < 0].sum())
-    if n > EXACT_PAIRS:
-        mean, variance = twice.sum() / 2, (twice**2).sum() / 4
-        return least / 2, min(1.0, math.erfc((mean - least) / math.sqrt(2 * variance)))
-    ways = np.zeros(int(twice.sum()) + 1)
+def two_sided_p(least: int, total: int, squares: float, ranks: list[int]) -> float:
+    """The two-sided p of the smaller of two sums of signed ranks. All are doubled, so that shared ranks are whole: the sum, that of all ranks, and of their squares; ``ranks`` if there are few."""
+    if not total:
+        return 1.0
+    if not ranks:
+        return min(1.0, math.erfc((total / 2 - least) / math.sqrt(squares / 2)))
+    ways = np.zeros(total + 1)
     ways[0] = 1.0
-    for r in twice.astype(int):
+    for r in ranks:
         ways[r:] += ways[:-r].copy()
-    return least / 2, min(1.0, 2 * ways[: int(least) + 1].sum() / 2.0**n)
+    return min(1.0, 2 * ways[: least + 1].sum() / 2.0 ** len(ranks))
+
+
+def signed_rank_p(differences: np.ndarray) -> tuple[float, float]:
+    """The smaller sum of signed ranks of an array, and the two-sided p; zeros are left out, ties share their mean rank."""
+    d = differences[differences != 0]
+    twice = (pd.Series(np.abs(d)).rank() * 2).astype(int).to_numpy()
+    least = int(min(twice[d > 0].sum(), twice[d < 0].sum())) if len(d) else 0
+    return least / 2, two_sided_p(least, int(twice.sum()), float((twice.astype(float) ** 2).sum()), twice.tolist() if len(d) <= EXACT_PAIRS else [])
 
 
 def signed_rank(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """(group, pairs, mean_difference, statistic, p) of a - b: one row a comparison, whose pairs are runs; more than ``MAX_PAIRS`` are an error."""
-    rows = pairs.select(group, (F.col(a) - F.col(b)).cast("double").alias("d")).where(F.col("d").isNotNull() & ~F.isnan("d"))
-    if big := rows.groupBy(group).count().where(F.col("count") > MAX_PAIRS).limit(1).collect():
-        raise ValueError(f"comparison {big[0][0]} has {big[0][1]} pairs")
+    """(group, pairs, mean_difference, statistic, p) of a - b, one row a comparison; pairs without a difference count, but have no rank, and equal ones share their mean rank.
+
+    Ranks come from places in sorted ranges and sums over runs of equal values, so a comparison of any number of pairs is in no task; up to ``EXACT_PAIRS`` ranks meet in a row.
+    """
+    rows = pairs.select(F.col(group).alias("g"), (F.col(a) - F.col(b)).cast("double").alias("d")).where(F.col("d").isNotNull() & ~F.isnan("d"))
+    whole = rows.groupBy("g").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_difference"))
+    placed = places(rows.where("d <> 0").select("g", F.abs("d").alias("size"), (F.col("d") > 0).alias("more")), ["g"], ["size"])
+    runs = placed.groupBy("g", "size").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum(F.col("more").cast("bigint")).alias("up"), F.max("members").alias("members"))
+    runs = runs.withColumn("twice", F.col("first") * 2 + F.col("n") + 1)
+    few = F.when(F.col("members") <= EXACT_PAIRS, F.array_repeat("twice", F.col("n").cast("int")))
+    sums = runs.groupBy(F.col("g").alias("of")).agg(
+        F.sum(F.col("twice") * F.col("up")).alias("up"),
+        F.sum(F.col("twice") * F.col("n")).alias("total"),
+        F.sum(F.col("twice").cast("double") ** 2 * F.col("n")).alias("squares"),
+        F.flatten(F.collect_list(few)).alias("ranks"),
+    )
+    joined = whole.join(sums, F.col("g").eqNullSafe(F.col("of")), "left")
+    kind = pairs.schema[group].dataType.simpleString()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        d = f["d"].to_numpy()
-        return pd.DataFrame([(f[group].iloc[0], len(d), d.mean(), *signed_rank_p(d))], columns=[group, "pairs", "mean_difference", "statistic", "p"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            p = [two_sided_p(int(least), int(total), squares, [] if ranks is None else [int(r) for r in ranks]) for least, total, squares, ranks in zip(f["least"], f["total"], f["squares"], f["ranks"], strict=True)]
+            yield f[["g", "pairs", "mean_difference"]].assign(statistic=f["least"] / 2, p=p)
 
-    return rows.groupBy(group).applyInPandas(run, f"`{group}` {pairs.schema[group].dataType.simpleString()}, pairs bigint, mean_difference double, statistic double, p double")
+    up, total = F.coalesce("up", F.lit(0)), F.coalesce("total", F.lit(0))
+    rows = joined.select("g", "pairs", "mean_difference", F.least(up, total - up).alias("least"), total.alias("total"), F.coalesce("squares", F.lit(0.0)).alias("squares"), "ranks")
+    return rows.mapInPandas(run, f"g {kind}, pairs bigint, mean_difference double, statistic double, p double").withColumnRenamed("g", group)
