@@ -2,6 +2,7 @@ import io
 import json
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,26 @@ def test_archives_metadata_errors_and_hash(spark, tmp_path):
     assert arrays.pair_errors(good, good.where("slice_index = 9")).collect()[0].error == "no mask"
 
 
+def test_discovery_names_files_and_folders_once(spark, tmp_path):
+    for name in ("one.parquet", "many.parquet/part-0.parquet", "many.parquet/part-1.parquet", "more.parquet/deep/part-0", "in/one.parquet", "notes.txt", "parquet/x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        found = [r.file for r in arrays.found_names(spark, path, "*.parquet").collect()]
+        assert sorted(found) == ["many.parquet", "more.parquet", "one.parquet", "one.parquet"]
+
+
+def test_discovery_of_tables_in_parts_equals_its_sql(spark, tmp_path):
+    from lodestar.plans.formats import ORACLE, QUERIES
+
+    want = [file for (file,) in duckdb.sql(ORACLE["directory_discovery"]).fetchall()]
+    for name in want:
+        (tmp_path / name).mkdir()
+        for k in range(2):
+            (tmp_path / name / f"part-{k}.parquet").write_bytes(b"x")
+    assert sorted(r.file for r in QUERIES["directory_discovery"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_volume_slices(spark, tmp_path, packed):
     x = np.arange(24, dtype="<i2").reshape(3, 4, 2)
